@@ -29,8 +29,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _word_bpe(), end_id=2, capacity=4096)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlake.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_packing)}
+    return {f.__name__: f for f in (op1_token_output, op3_packing, op5_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
