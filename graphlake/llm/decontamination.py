@@ -45,10 +45,11 @@ def simhash(shingles: Column) -> Column:
     """64-bit SimHash of a bag of 64-bit hashes (fewer than 32,768): bit b is set
     where more than half of the hashes have it. Four counters share a long."""
     mask = F.lit(int(LANES, 16)).cast("long")
-    sums = [
-        F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, h, j=j: acc + F.shiftrightunsigned(h, j).bitwiseAND(mask))
-        for j in range(16)
-    ]
+
+    def lane_sums(j: int) -> Column:
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(mask))
+
+    sums = [lane_sums(j) for j in range(16)]
     bits = []
     for j in range(16):
         for lane in range(4):
@@ -85,7 +86,8 @@ def contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, start
-    (first word of the most similar window, the earliest of equals), similarity.
+    (first word of the most similar window that a shared shingle aligns, the
+    earliest of equals), similarity.
 
     A shingle is five words, or the whole item where it has fewer. Null and blank
     texts and items hold nothing. Rows that repeat an id are searched each and

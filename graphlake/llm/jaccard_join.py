@@ -217,3 +217,14 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col:
     members, found = verified(texts, threshold, width)
     groups = connected_components(found.select(F.col("class_id").alias("src"), F.col("root").alias("dst")))
     return members.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("group_id"))
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group of
+    documents that links join, the one with the least id stays, once. Rows with a
+    null id stay. An id with several texts goes if any of them is another's copy."""
+    groups = near_groups(docs, threshold, width, id_col, text_col)
+    losers = written(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__loser")).distinct(), "losers")
+    kept = docs.join(losers, F.col(id_col).cast("long") == F.col("__loser"), "left_anti")
+    again = kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"])
+    return again.select(*(F.col(f"`{c}`") for c in docs.columns))

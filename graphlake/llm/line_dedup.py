@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.llm.common import keyed_texts, written
@@ -150,22 +150,38 @@ def build_shards(shared: DataFrame, shards: int) -> DataFrame:
     return shared.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, mph binary, prints binary, counts binary, lasts binary")
 
 
-OUT = "doc_id long, kept string, n_lines long, n_dropped long"
+#: What becomes of a text, as one struct column.
+VERDICT = "kept string, n_lines long, n_dropped long"
 
 
-def _kept(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "kept", "n_lines", "n_dropped"])
+def _without(lines: list[bytes], drop: set[int]) -> tuple[str, int, int]:
+    kept = b"\n".join(x for p, x in enumerate(lines) if p not in drop) if drop else b"\n".join(lines)
+    return kept.decode("utf-8", "surrogatepass"), len(lines), len(drop)
 
 
-def dedup_lines(
+def with_verdict(
     docs: DataFrame,
     min_chars: int = 40,
     min_docs: int = 5,
     broadcast_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
+    verdict: str = "__lines",
 ) -> DataFrame:
+    """All columns of ``docs`` and a struct of kept, n_lines and n_dropped."""
+    texts = keyed_texts(docs, id_col, text_col)
+    shared = written(shared_lines(texts, min_chars, min_docs), "shared-lines")
+    n = shared.count()
+    shards = max(1, -(-n // SHARD_KEYS))
+    table = written(build_shards(shared, shards), "line-shards")
+    size = table.select(F.sum(F.expr("length(mph) + length(prints) + length(counts) + length(lasts)"))).first()[0] or 0
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    if size <= broadcast_bytes:
+        return docs.withColumn(verdict, _prober(docs, [tuple(r) for r in table.collect()], shards, min_chars)(key, text))
+    return _joined(docs, texts, shared, min_chars, key, text, verdict)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, kept (its text without the dropped lines),
     n_lines before dropping, n_dropped.
 
@@ -175,68 +191,59 @@ def dedup_lines(
     table gives no rows; other columns are not read.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    shared = written(shared_lines(texts, min_chars, min_docs), "shared-lines")
-    n = shared.count()
-    shards = -(-n // SHARD_KEYS)
-    if not shards:
-        return _probed(texts, [], 1, min_chars)
-    table = written(build_shards(shared, shards), "line-shards")
-    if table.select(F.sum(F.expr("length(mph) + length(prints) + length(counts) + length(lasts)"))).first()[0] <= broadcast_bytes:
-        return _probed(texts, [tuple(r) for r in table.collect()], shards, min_chars)
-    return _joined(texts, shared, min_chars)
+    return with_verdict(texts, min_chars, min_docs, broadcast_bytes, verdict="lines").select("doc_id", "lines.*")
 
 
-def _probed(texts: DataFrame, rows: list[tuple], shards: int, min_chars: int) -> DataFrame:
-    held = texts.sparkSession.sparkContext.broadcast(rows)
+def without_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns in place, with the kept text; a null text
+    becomes empty."""
+    told = with_verdict(docs, min_chars, min_docs, id_col=id_col, text_col=text_col)
+    return told.select(*(F.col("__lines.kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {shard: Shard(*map(bytes, parts)) for shard, *parts in held.value}
-        for batch in batches:
-            docs = batch.column(0).to_pylist()
-            lines = [_encode(t).split(b"\n") for t in batch.column(1).to_pylist()]
-            if not lines:
-                continue
-            at, hashes = zip(*(_hashes(x, min_chars) for x in lines))
-            owner = np.repeat(np.arange(len(lines)), [len(x) for x in at])
-            h = np.concatenate(hashes)
-            where = h[:, 0].view(np.int64) % shards
-            ids = np.array([np.iinfo(np.int64).min if d is None else d for d in docs], np.int64)
-            gone = np.zeros(len(h), bool)
-            for shard, table in tables.items():
-                own = np.flatnonzero(where == shard)
-                gone[own] = table.dropped(h[own, 0], h[own, 1], ids[owner[own]])
-            drop: dict[int, set[int]] = {}
-            position = np.concatenate([np.array(x, np.int64) for x in at])
-            for d, p in zip(owner[gone].tolist(), position[gone].tolist()):
-                drop.setdefault(d, set()).add(p)
-            out = []
-            for d, own in enumerate(lines):
-                less = drop.get(d, ())
-                kept = b"\n".join(x for p, x in enumerate(own) if p not in less) if less else b"\n".join(own)
-                out.append((docs[d], kept.decode("utf-8", "surrogatepass"), len(own), len(less)))
-            yield _kept(out)
 
-    return texts.mapInArrow(run, OUT)
+def _prober(docs: DataFrame, rows: list[tuple], shards: int, min_chars: int):
+    held = docs.sparkSession.sparkContext.broadcast(rows)
 
-
-def _joined(texts: DataFrame, shared: DataFrame, min_chars: int) -> DataFrame:
+    @F.pandas_udf(VERDICT)
+    def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tables = {shard: Shard(*map(bytes, parts)) for shard, *parts in held.value}
+        for docs, texts in batches:
+            ids = docs.astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
+            lines = [_encode(t).split(b"\n") for t in texts]
+            drop: dict[int, set[int]] = {}
+            if lines:
+                at, hashes = zip(*(_hashes(x, min_chars) for x in lines))
+                owner = np.repeat(np.arange(len(lines)), [len(x) for x in at])
+                h = np.concatenate(hashes)
+                where = h[:, 0].view(np.int64) % shards
+                gone = np.zeros(len(h), bool)
+                for shard, table in tables.items():
+                    own = np.flatnonzero(where == shard)
+                    gone[own] = table.dropped(h[own, 0], h[own, 1], ids[owner[own]])
+                position = np.concatenate([np.array(x, np.int64) for x in at])
+                for d, p in zip(owner[gone].tolist(), position[gone].tolist()):
+                    drop.setdefault(d, set()).add(p)
+            out = [_without(own, drop.get(d, set())) for d, own in enumerate(lines)]
+            yield pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
+
+    return probe
+
+
+def _joined(docs: DataFrame, texts: DataFrame, shared: DataFrame, min_chars: int, key: Column, text: Column, verdict: str) -> DataFrame:
     """The same result without a broadcast: the hashes to drop meet their documents."""
     hits = line_hashes(texts, min_chars).join(shared, ["h1", "h2"]).where("not (doc_id <=> last_doc)")
-    drop = hits.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    drop = drop.select("drop_id", F.col("gone.h1").alias("g1"), F.col("gone.h2").alias("g2"))
-    joined = texts.join(drop, F.expr("doc_id <=> drop_id"), "left").select("doc_id", "text", "g1", "g2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, g1, g2 in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                gone = set(zip(g1 or (), g2 or ()))
-                lines = _encode(text).split(b"\n")
-                at, h = _hashes(lines, min_chars)
-                less = {p for p, pair in zip(at, h.view("<i8").tolist()) if tuple(pair) in gone}
-                kept = b"\n".join(x for p, x in enumerate(lines) if p not in less)
-                out.append((doc, kept.decode("utf-8", "surrogatepass"), len(lines), len(less)))
-            if out:
-                yield _kept(out)
-
-    return joined.mapInArrow(run, OUT)
+    drop = hits.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+    drop = drop.select("__drop_id", F.col("__gone.h1").alias("__g1"), F.col("__gone.h2").alias("__g2"))
+
+    @F.pandas_udf(VERDICT)
+    def apply(texts: pd.Series, g1: pd.Series, g2: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, a, b in zip(texts, g1, g2):
+            gone = set(zip(a.tolist(), b.tolist())) if a is not None else set()
+            lines = _encode(text).split(b"\n")
+            at, h = _hashes(lines, min_chars)
+            out.append(_without(lines, {p for p, pair in zip(at, h.view("<i8").tolist()) if tuple(pair) in gone}))
+        return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
+
+    joined = docs.join(drop, key.eqNullSafe(F.col("__drop_id")), "left")
+    return joined.withColumn(verdict, apply(text, F.col("__g1"), F.col("__g2"))).drop("__drop_id", "__g1", "__g2")

@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _word_bpe() -> str:
+def word_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -21,13 +21,19 @@ def _word_bpe() -> str:
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlake.llm.token_output import token_output
 
-    return token_output(_table(spark, sf_dir, "documents"), _word_bpe(), end_id=1)
+    return token_output(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphlake.llm.packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), _word_bpe(), end_id=2, capacity=4096)
+    return pack_documents(_table(spark, sf_dir, "documents"), word_bpe(), end_id=2, capacity=4096)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphlake.llm.html_extraction import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_token_output,
         op2_quality,
         op3_packing,
+        op4_html_extraction,
         op5_ngram_jaccard_join,
         op6_document_fingerprints,
         op7_line_dedup,

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,6 +162,17 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic int")
 
 
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not call toxic."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([held.value.probabilities(t or "")[0] < 0.5 for t in texts])
+
+    return docs.where(clean(F.col(text_col)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """Fit on a sample of ``labelled`` (``docs`` unless given) and score ``docs``."""
     texts, y = labelled_sample(labelled if labelled is not None else docs, labels, "toxic", sample)
