@@ -1,34 +1,16 @@
-"""Registered graph queries."""
+"""All registered graph queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from graphlake.plans import analytics_queries, change_queries, index_queries, path_queries, scan_queries, text_queries  # noqa: F401
+from graphlake.plans.registry import QUERIES, SQL
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def top_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    degree = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("in_degree"))
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return (
-        degree.join(parts, degree.l_partkey == parts.p_partkey)
-        .select("p_partkey", "p_name", "in_degree")
-        .orderBy(F.desc("in_degree"), "p_partkey")
-        .limit(20)
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"top_in_degree": top_in_degree}
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "top_in_degree": """SELECT p_partkey, p_name, count(*) AS in_degree FROM lineitem JOIN part ON l_partkey = p_partkey
-            GROUP BY p_partkey, p_name ORDER BY in_degree DESC, p_partkey LIMIT 20"""
-    }
+    return dict(SQL)
