@@ -2,7 +2,9 @@
 
 A window can only be similar to an item if it holds one of the item's word
 shingles, so windows are laid where a document shares a shingle with an item,
-aligned with it and as long as the item. Each window and item gets a 64-bit
+aligned with it and as long as the item; where two alignments stand close, as
+around an inserted or dropped word, also at every start between them. The most
+similar window of a document is always one of these. Each window and item gets a 64-bit
 SimHash of its shingles. Fingerprints within the radius agree in at least one of
 radius + 1 blocks, so an equi-join on (size, block, value) finds all of them;
 the shingle bags of the pairs within the radius are then compared exactly.
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.llm.common import keyed_texts, written
@@ -22,6 +24,8 @@ THRESHOLD = 0.8
 #: Bits in which similar windows may differ. At a similarity of 0.8 a bit differs
 #: with probability 0.15; 24 of 64 is five standard deviations above the mean.
 RADIUS = 24
+#: Alignments further apart than this share of the item cannot both lie in a similar window.
+GAP = 0.25
 #: Item shingles that are broadcast at most (24 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -75,6 +79,14 @@ def bag_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def with_starts_between(places: DataFrame) -> DataFrame:
+    """``places`` and the starts between two of a document that stand close."""
+    before = F.lag("start").over(Window.partitionBy("doc_id", "n", "width").orderBy("start"))
+    close = F.col("start") - F.col("before") <= F.ceil(F.col("n") * GAP)
+    first = F.when(close, F.col("before") + 1).otherwise(F.col("start"))
+    return places.withColumn("before", before).withColumn("start", F.explode(F.sequence(first, F.col("start")))).drop("before")
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -86,8 +98,7 @@ def contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, start
-    (first word of the most similar window that a shared shingle aligns, the
-    earliest of equals), similarity.
+    (first word of the most similar window, the earliest of equals), similarity.
 
     A shingle is five words, or the whole item where it has fewer. Null and blank
     texts and items hold nothing. Rows that repeat an id are searched each and
@@ -116,7 +127,7 @@ def contamination(
         return own.select("doc_id", start.alias("start"), "n", "width")
 
     none = texts.limit(0).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("width"))
-    places = reduce(DataFrame.union, map(hits, widths), none).distinct()
+    places = with_starts_between(reduce(DataFrame.union, map(hits, widths), none).distinct())
     places = written(places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "width")).alias("places")), "places")
 
     found = texts.join(places.withColumnRenamed("doc_id", "place_id"), F.expr("doc_id <=> place_id"))

@@ -96,7 +96,7 @@ def grades(model: OrdinalModel, strong: set[int], texts: list[str], toxic: np.nd
     return np.where(toxic == 1, 1 + (words >= max(middle, 1)), 0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, l2: float = 5e-4, rounds: int = 400) -> OrdinalModel:
+def fit(texts: list[str], toxic: np.ndarray, l2: float = 3e-5, rounds: int = 1500) -> OrdinalModel:
     """Full-batch Adam on the likelihood of the grades. Without both labels the
     model has no features and gives the base rate."""
     chosen = select(texts, toxic) if 0 < toxic.sum() < len(toxic) else {}
