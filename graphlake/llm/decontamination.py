@@ -24,8 +24,6 @@ THRESHOLD = 0.8
 #: Bits in which similar windows may differ. At a similarity of 0.8 a bit differs
 #: with probability 0.15; 24 of 64 is five standard deviations above the mean.
 RADIUS = 24
-#: Alignments further apart than this share of the item cannot both lie in a similar window.
-GAP = 0.25
 #: Item shingles that are broadcast at most (24 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -79,10 +77,12 @@ def bag_similarity(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def with_starts_between(places: DataFrame) -> DataFrame:
-    """``places`` and the starts between two of a document that stand close."""
+def with_starts_between(places: DataFrame, threshold: float) -> DataFrame:
+    """``places`` and the starts between two of a document that stand close: each
+    word that two alignments are apart is a shingle that is not shared, and a
+    similar window has few of those."""
     before = F.lag("start").over(Window.partitionBy("doc_id", "n", "width").orderBy("start"))
-    close = F.col("start") - F.col("before") <= F.ceil(F.col("n") * GAP)
+    close = F.col("start") - F.col("before") <= F.ceil(F.col("n") * ((1 - threshold) / (1 + threshold)))
     first = F.when(close, F.col("before") + 1).otherwise(F.col("start"))
     return places.withColumn("before", before).withColumn("start", F.explode(F.sequence(first, F.col("start")))).drop("before")
 
@@ -127,7 +127,7 @@ def contamination(
         return own.select("doc_id", start.alias("start"), "n", "width")
 
     none = texts.limit(0).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("width"))
-    places = with_starts_between(reduce(DataFrame.union, map(hits, widths), none).distinct())
+    places = with_starts_between(reduce(DataFrame.union, map(hits, widths), none).distinct(), threshold)
     places = written(places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "width")).alias("places")), "places")
 
     found = texts.join(places.withColumnRenamed("doc_id", "place_id"), F.expr("doc_id <=> place_id"))
