@@ -98,7 +98,8 @@ def contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, start
-    (first word of the most similar window, the earliest of equals), similarity.
+    (first word of the most similar window, of equals the earliest that a shared
+    shingle aligns), similarity.
 
     A shingle is five words, or the whole item where it has fewer. Null and blank
     texts and items hold nothing. Rows that repeat an id are searched each and

@@ -26,10 +26,12 @@ from graphlake.llm.common import keyed_texts
 from graphlake.llm.encoding import slices
 from graphlake.llm.toxicity import labelled_sample
 
-#: Labelled documents a model is fitted on at most; its latent dimensions; voters.
+#: Labelled documents a model is fitted on at most; its latent dimensions; voters;
+#: the power of its similarity that a voter's weight is.
 SAMPLE = 4000
 DIMENSIONS = 48
-NEIGHBOURS = 31
+NEIGHBOURS = 15
+SHARPNESS = 8
 SHAPES = 1024
 WORDS = 3072
 #: Share of the word block in a document's vector.
@@ -118,7 +120,7 @@ class NeighbourModel:
         for a in range(0, len(texts), BLOCK):
             cosine = self.project(texts[a : a + BLOCK]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, None)
+            weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, None) ** SHARPNESS
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
             out[a : a + BLOCK] = np.where(total > 0, vote / np.maximum(total, 1e-12), prior)
