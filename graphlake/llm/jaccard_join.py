@@ -114,7 +114,8 @@ def verified(texts: DataFrame, threshold: float, width: int, rows: int = ROWS, r
     for a class (class_id, k1) and a block it was compared in, its links there and
     ``root``, the least class id of those it hangs together with in that block."""
     signed = signatures(texts, threshold, width, rows, recall)
-    named = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
+    # As a table of its own, so that the join can split a text that many rows have.
+    named = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
     members = written(
         signed.join(named, ["k1", "k2"]).select("doc_id", "class_id", "k1", F.when(F.expr("doc_id = class_id"), F.col("bands")).alias("bands")),
         "members",
