@@ -207,7 +207,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col
     """
     texts = keyed_texts(docs, id_col, text_col)
     members, found = verified(texts, threshold, width)
-    links = found.groupBy("class_id", "k1").agg(F.sum("links").alias("n_links"))
+    # A table too, so that this join can split a class that many rows have.
+    links = written(found.groupBy("class_id", "k1").agg(F.sum("links").alias("n_links")), "link-counts")
     return members.join(links, ["class_id", "k1"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
