@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum label and pointer jumping."""
+"""Connected components of an edge table, by alternating large-star and small-star."""
 
 from __future__ import annotations
 
@@ -26,28 +26,35 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) of every vertex that has an edge to another one; the
     component is its smallest member's id, direction is ignored.
 
     Self-loops, repeated edges and edges with a null end change nothing. Each
-    round takes the smallest label among a vertex and its neighbours, then the
-    label of that label; it stops when no label changes.
+    round is a large-star and a small-star: every vertex hangs its larger
+    neighbours, then its smaller ones and itself, on the least vertex it sees. No
+    round adds an edge, the rounds grow with the logarithm of a component's size
+    whatever the order of ids, and they end when all that is left is stars.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
-    e = materialised(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = materialised(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(max_rounds):
-        near = (
-            e.join(labels.select(F.col("id").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("near"))
-        )
-        low = labels.join(near, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        after = materialised(low.join(up, "label", "left").select("id", "was", F.least("label", "up").alias("label")))
-        changed = after.where("was <> label").limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
-            return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    a, b = F.col(src), F.col(dst)
+    arcs = materialised(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    while not _only_stars(arcs):
+        # The least neighbours are tables of their own, so that the joins can split a hub.
+        least = _least(arcs)
+        hung = arcs.join(least.withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("least", "lo").alias("lo"))
+        arcs = materialised(hung.distinct())
+        least = _least(arcs)
+        rest = arcs.join(least, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+        arcs = materialised(rest.union(least.select("hi", F.col("least").alias("lo"))).distinct())
+    return arcs.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(arcs.select("lo", "lo").distinct())
+
+
+def _least(arcs: DataFrame) -> DataFrame:
+    return materialised(arcs.groupBy("hi").agg(F.min("lo").alias("least")))
+
+
+def _only_stars(arcs: DataFrame) -> bool:
+    """Whether every vertex is the larger end of one arc or only a smaller end."""
+    ends = arcs.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(arcs.select("lo", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or up > 0 and down > 0").limit(1).count() == 0

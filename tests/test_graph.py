@@ -1,10 +1,13 @@
 """Small graphs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphlake.graph import Graph
 from graphlake.operators import analytics, indices, mutate, paths, patterns, scan, vectors
+from graphlake.operators.components import connected_components
 from graphlake.sources import jsonl, synthetic, versions
 
 
@@ -44,6 +47,26 @@ def test_components_and_communities(spark):
     assert len({found[i] for i in (0, 1, 2)}) == 1 and len(set(found.values())) == 2
 
 
+@pytest.mark.parametrize("n", [1, 300])
+def test_components_of_shuffled_chains(spark, n):
+    ids = random.Random(n).sample(range(10 * n + 1), 2 * n + 1)
+    chains = [ids[: n + 1], ids[n + 1 :]]
+    links = [(c[i], c[i + 1]) for c in chains for i in range(len(c) - 1)] + [(ids[0], ids[0]), (None, ids[0])]
+    found = connected_components(spark.createDataFrame(links, "src long, dst long")).collect()
+    assert sorted((r.id, r.component) for r in found) == sorted((x, min(c)) for c in chains if len(c) > 1 for x in c)
+
+
+def test_components_of_random_graphs(spark):
+    draw = random.Random(5)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(200)] + [(399, i) for i in range(50, 90)]
+    root = {x: x for x in range(400)}
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    found = connected_components(spark.createDataFrame(links, "src long, dst long")).collect()
+    assert sorted((r.id, r.component) for r in found) == sorted((x, root[x]) for x in {v for a, b in links if a != b for v in (a, b)})
+
+
 def test_triangles(spark):
     k4 = graph(spark, 4, [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)])
     assert by_id(analytics.triangles(k4), "triangles") == {i: 3 for i in range(4)}
