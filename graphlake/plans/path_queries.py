@@ -9,7 +9,7 @@ from graphlake.operators import paths, patterns
 from graphlake.operators.patterns import EdgeStep, VertexStep
 from graphlake.plans.registry import query
 from graphlake.plans.scan_queries import EDGES_SQL, ID
-from graphlake.sources.tables import commerce, heavy_supply
+from graphlake.sources.tables import commerce, heavy_supply, supplies
 
 C7, C11 = ID["customer"] + 7, ID["customer"] + 11
 BOTH = f"e AS MATERIALIZED (SELECT id, src AS a, dst AS b, 'out' AS dir FROM {EDGES_SQL} WHERE edge_type IN ('placed', 'contains') UNION ALL SELECT id, dst, src, 'in' FROM {EDGES_SQL} WHERE edge_type IN ('placed', 'contains'))"
@@ -57,6 +57,12 @@ def dijkstra_cost(spark, sf_dir):
     return found.select("id", "weight")
 
 
+@query()
+def dijkstra_cost_whole(spark, sf_dir):
+    found = paths.cheapest(supplies(spark, sf_dir), S3, 4, edge_cost=F.round(F.col("extendedprice") * 100))
+    return found.select("id", "weight")
+
+
 @query(f"""WITH RECURSIVE x AS MATERIALIZED (SELECT id, src AS a, dst AS b, 'out' AS dir FROM {EDGES_SQL} WHERE edge_type = 'placed' UNION ALL SELECT id, dst, src, 'in' FROM {EDGES_SQL} WHERE edge_type = 'placed'
     UNION ALL SELECT id, src, dst, 'out' FROM {EDGES_SQL} WHERE edge_type = 'contains' UNION ALL SELECT id, dst, src, 'in' FROM {EDGES_SQL} WHERE edge_type = 'contains'),
   p AS (SELECT CAST({C7} AS BIGINT) AS pos, 0 AS hops, '' AS signature, [CAST({C7} AS BIGINT)] AS seen
@@ -118,3 +124,10 @@ def subgraph_renumbered(spark, sf_dir):
     out = patterns.subgraph(g, steps=[VertexStep(F.col("label") == "supplier"), EdgeStep("out"), VertexStep()], renumber=True)
     v = out.vertices.agg((F.max("id") + 1).alias("n_vertices"))
     return v.join(F.broadcast(out.edges.agg(F.count("*").alias("n_edges"))))
+
+
+@query(f"SELECT count(DISTINCT a) + count(DISTINCT b) AS n_vertices, count(*) AS n_edges FROM (SELECT {ID['supplier']} + l_suppkey AS a, {ID['part']} + l_partkey AS b FROM lineitem)")
+def subgraph_renumbered_whole(spark, sf_dir):
+    out = patterns.subgraph(supplies(spark, sf_dir), steps=[VertexStep(F.col("label") == "supplier"), EdgeStep("out"), VertexStep()], renumber=True)
+    v = out.vertices.agg((F.max("id") + 1).alias("n_vertices"))
+    return v.join(F.broadcast(out.edges.agg(F.count("*").alias("n_edges"))))
