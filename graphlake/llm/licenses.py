@@ -4,13 +4,15 @@ A text is brought to a canonical form (lower case, no copyright lines, one
 spelling of equivalent words, words only, single spaces) and its SHA-256 is
 looked up among those of known licences. Both whole texts and whole lines are
 looked up, so a document that is a licence and one that carries a notice are
-told apart. The table of known licences is fixed and small, so it is broadcast.
+told apart. The table of known licences is fixed and small, so it is broadcast;
+another may be given as a table.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ SPELLINGS = [
 ]
 
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: As above, behind comment marks too, but no line of a licence's own wording.
+_WORDING = r"notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interest|rights?|permission|disclaimers?|protection|and|or|in|on|is"
+COMMENTED_LINE = rf"(^|\n)[ \t#*/;!%<>-]*(copyright(?!s?[ \t]+(?:{_WORDING})\b)|\(c\)(?![ \t]+(?:you|if|in|under|accompany|prohibit|affirmer)\b)|©)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # Licence notices and texts, by SPDX identifier.
@@ -87,8 +92,45 @@ KNOWN = [
 ]
 
 
+TEXTS = Path(__file__).parent / "license_texts"
+#: Paragraphs of title at the head of the shipped texts.
+TITLE = {"GPL-2.0-only.spdx": 2, "CC0-1.0": 2, "CC-BY-SA-4.0": 2, "BSD-2-Clause": 0}
+END = "END OF TERMS AND CONDITIONS"
+NO_ENDORSEMENT = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission."
+)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Entire licences: the shipped files and the short ones of :data:`KNOWN`, with and
+    without title, and without what follows the end of the terms."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8").strip()
+        bare = text
+        for _ in range(TITLE.get(name, 1)):
+            bare = re.split(r"\n\s*\n", bare, maxsplit=1)[1]
+        for form in (text, bare):
+            out += [(name.removesuffix(".spdx"), form), (name.removesuffix(".spdx"), form.partition(END)[0] + END * (END in form))]
+    short = {i: [text for known, text in KNOWN if known == i and len(text) > 400] for i in ("MIT", "ISC", "0BSD")}
+    two = re.sub(COMMENTED_LINE, r"\1", (TEXTS / "BSD-2-Clause.txt").read_text(encoding="utf-8"), flags=re.I).strip()
+    three = two.replace("THIS SOFTWARE IS PROVIDED", f"3. {NO_ENDORSEMENT}\n\nTHIS SOFTWARE IS PROVIDED", 1)
+    short |= {"BSD-2-Clause": [two, re.sub(r"(?m)^\d\. ", "", two)], "BSD-3-Clause": [three, re.sub(r"(?m)^\d\. ", "", three)]}
+    titles = {
+        "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+        "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+        "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+        "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+        "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    }
+    for name, bodies in short.items():
+        out += [(name, f"{title}\n{reserved}\n{body}") for body in bodies for title in ("", *titles[name]) for reserved in ("", "All rights reserved.")]
+    return out
+
+
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.lower(text), COMMENTED_LINE, "\n")
     out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
     for pattern, spelling in SPELLINGS:
         out = F.regexp_replace(out, pattern, spelling.replace(r"\1", "$1"))
@@ -99,8 +141,8 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    table = spark.createDataFrame(known, "license_id string, license_text string")
+def known_digests(spark: SparkSession, known: DataFrame | list[tuple[str, str]] = KNOWN) -> DataFrame:
+    table = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, license_text string")
     return table.select("license_id", digest(F.col("license_text")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -114,7 +156,7 @@ def may_match(text: Column, known: list[tuple[str, str]] = KNOWN, words: int = 4
     spares the other texts the work of the canonical form."""
     tests = set()
     for _, known_text in known:
-        plain = re.sub(COPYRIGHT_LINE, "\n", known_text.lower())
+        plain = re.sub(COMMENTED_LINE, "\n", known_text.lower())
         own = {w for w in re.findall("[a-z]{3,}", plain) if not w.startswith(REWRITTEN)}
         tests.add(tuple(sorted(own, key=lambda w: (-len(w), w))[:words]))
     if not tests or () in tests:
@@ -124,19 +166,25 @@ def may_match(text: Column, known: list[tuple[str, str]] = KNOWN, words: int = 4
     return reduce(lambda a, b: a | b, every)
 
 
-def license_scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, known: DataFrame | list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input id, licence and scope: doc_id, license_id, scope, n.
 
     ``scope`` is 'text' where the whole text is the licence and 'line' where n of
     its lines are; a text of one line counts as both. Null and empty texts,
     and texts without a known digest, give no row. Rows that repeat an id add up;
-    null ids are counted together. Other columns are not read.
+    null ids are counted together. Other columns are not read. ``known`` holds
+    (license_id, license_text), as rows or as a table of any size; without it,
+    :data:`KNOWN` and :func:`whole_texts`.
     """
-    texts = keyed_texts(docs, id_col, text_col).where(may_match(F.col("text"), known))
+    known = [*KNOWN, *whole_texts()] if known is None else known
+    table = isinstance(known, DataFrame)
+    possible = lambda text: F.lit(True) if table else may_match(F.col(text), known)
+    texts = keyed_texts(docs, id_col, text_col).where(possible("text"))
     whole = texts.select("doc_id", F.lit("text").alias("scope"), digest(F.col("text")).alias("digest"))
     lines = texts.select("doc_id", F.lit("line").alias("scope"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(may_match(F.col("line"), known)).select("doc_id", "scope", digest(F.col("line")).alias("digest"))
-    found = whole.union(lines).join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")
+    lines = lines.where(possible("line")).select("doc_id", "scope", digest(F.col("line")).alias("digest"))
+    digests = known_digests(docs.sparkSession, known)
+    found = whole.union(lines).join(digests if table else F.broadcast(digests), "digest")
     return found.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n"))
 
 

@@ -1,6 +1,7 @@
 """Line dedup, decontamination, licence scans, toxicity and quality."""
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from graphlake.llm import quality as Q
 from graphlake.llm import toxicity as T
 from graphlake.llm.decontamination import contamination, decontaminate
-from graphlake.llm.licenses import license_scan
+from graphlake.llm.licenses import KNOWN, NO_ENDORSEMENT, TEXTS, license_scan
 from graphlake.llm.line_dedup import PerfectHash, dedup_lines, without_shared_lines
 from graphlake.llm.queries import queries
 
@@ -132,6 +133,28 @@ def test_license_scan(make_docs):
     assert license_scan(make_docs([])).count() == 0
 
 
+def test_license_files(spark, make_docs):
+    body = {i: t for i, t in KNOWN if len(t) > 400}
+    wrapped = lambda t: "\n".join(textwrap.wrap(t, 76))
+    shipped = {p.stem: p.read_text() for p in TEXTS.glob("*.txt")}
+    two = shipped["BSD-2-Clause"].partition("\n")[2]
+    three = two.replace("THIS SOFTWARE IS", f"3. {NO_ENDORSEMENT}\n\nTHIS SOFTWARE IS", 1)
+    marked = "\n".join("# " + x for x in f"BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n{wrapped(three)}".split("\n"))
+    files = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A\n\n" + wrapped(body["MIT"])),
+        ("ISC", "ISC License\n\n// Copyright (c) 2020 A\n\n" + wrapped(body["ISC"])),
+        ("BSD-2-Clause", "Copyright (c) 2020 A. All rights reserved.\n" + wrapped(two)),
+        ("BSD-3-Clause", marked),
+        ("Apache-2.0", shipped["Apache-2.0"].partition("http://www.apache.org/licenses/\n")[2]),
+        ("GPL-3.0-only", shipped["GPL-3.0-only"].partition("How to Apply")[0]),
+        *((name.removesuffix(".spdx"), text) for name, text in shipped.items()),
+    ]
+    found = {(r.doc_id, r.license_id) for r in license_scan(make_docs([(i, t) for i, (_, t) in enumerate(files)])).collect() if r.scope == "text"}
+    assert found == {(i, name) for i, (name, _) in enumerate(files)}
+    known = spark.createDataFrame([("Own", "Use it well.")], "license_id string, license_text string")
+    assert [tuple(r) for r in license_scan(make_docs([(1, "x\n use IT well"), (2, files[0][1])]), known).collect()] == [(1, "Own", "line", 1)]
+
+
 def labelled(sf):
     docs, labels = (pd.read_parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
     return docs.merge(labels, on="doc_id")
