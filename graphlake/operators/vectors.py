@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.operators.components import materialised
+
 METRICS = ("cosine", "dot", "l2")
 
 
@@ -68,11 +72,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "cosin
     return scored.orderBy(F.col("score").asc() if metric == "l2" else F.col("score").desc(), "id").limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", max_queries: int = 10_000) -> DataFrame:
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 10_000) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of query vectors (query_id,
-    query). The query set is counted and broadcast; each row meets all queries."""
-    if queries.count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: split them")
+    query). The query set is counted and broadcast in blocks of about ``block``;
+    each row meets all queries."""
+    blocks = -(-queries.count() // block)
+    if blocks > 1:
+        dealt = materialised(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+        parts = [_nearest_block(vectors, dealt.where(F.col("__block") == b).drop("__block"), k, metric) for b in range(blocks)]
+        return reduce(DataFrame.unionAll, parts)
+    return _nearest_block(vectors, queries, k, metric)
+
+
+def _nearest_block(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     pairs = vectors.join(F.broadcast(queries))
     scored = pairs.select("query_id", "id", similarity(F.col("vector"), F.col("query"), metric).alias("score")).where("score is not null and not isnan(score)")
     best = F.col("score").asc() if metric == "l2" else F.col("score").desc()

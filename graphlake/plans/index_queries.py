@@ -130,6 +130,16 @@ def knn_batch(spark, sf_dir):
     return vectors.nearest_batch(v, q, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+  s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+  SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def knn_batch_whole(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return vectors.nearest_batch(v, q, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""SELECT CASE WHEN vec_id = -1 THEN 'wrong_dimension' WHEN vec_id = -2 THEN 'non_finite' WHEN vec_id = -3 THEN 'zero_norm' ELSE 'ok' END AS verdict, count(*) AS n
   FROM (SELECT vec_id FROM embeddings UNION ALL VALUES (-1), (-2), (-3)) GROUP BY 1""")
 def vector_admission(spark, sf_dir):

@@ -98,6 +98,13 @@ def neighbors_bag(spark, sf_dir):
     return scan.neighbors(commerce(spark, sf_dir), some).groupBy("id", "neighbor").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT id, neighbor, count(*) AS n FROM (SELECT src AS id, dst AS neighbor FROM {EDGES_SQL} UNION ALL SELECT dst, src FROM {EDGES_SQL})
+  WHERE id >= {ID['part']} AND id < {ID['orders']} GROUP BY id, neighbor""")
+def neighbors_bag_whole(spark, sf_dir):
+    parts = (F.col("near") >= ID["part"]) & (F.col("near") < ID["orders"])
+    return scan.neighbors(commerce(spark, sf_dir), parts).groupBy("id", "neighbor").agg(F.count("*").alias("n"))
+
+
 _C7 = f"{ID['customer']} + 7"
 
 

@@ -131,6 +131,13 @@ def test_nearest_vectors(spark):
     assert far.s == pytest.approx(5.0)
 
 
+def test_nearest_vectors_in_blocks(spark):
+    table = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5)]) for i in range(40)], "id long, vector array<float>")
+    queries = table.selectExpr("id AS query_id", "vector AS query")
+    whole, blocks = (vectors.nearest_batch(table, queries, 3, block=b).select("query_id", "id", "rank").collect() for b in (40, 9))
+    assert len(whole) == 120 and sorted(blocks) == sorted(whole)
+
+
 def test_jsonl_and_versions_round_trip(spark, tmp_path):
     g = graph(spark, 4, [(0, 1), (1, 2), (2, 3)])
     jsonl.write(g, str(tmp_path / "g"))
