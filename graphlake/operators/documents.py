@@ -41,6 +41,26 @@ def mentions(docs: DataFrame, targets: DataFrame, width: int = 8, cap: int = 16)
     return found.withColumn("__r", rank).where(F.col("__r") <= cap).drop("__r")
 
 
+def passages(docs: DataFrame, targets: DataFrame, width: int = 8, cap: int | None = None) -> DataFrame:
+    """(doc_id, item_id): targets of which any run of ``width`` words, or the whole
+    where they are shorter, stands in the document; of more than ``cap``, if given,
+    the least ids."""
+    items = targets.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(width)).alias("n")).distinct().collect()]
+    if not lengths:
+        return docs.select("doc_id").join(targets.select("item_id").limit(0))
+    runs = lambda n: token_windows(F.col("words"), n)
+    own = F.when(F.size("words") < width, F.array(F.array_join("words", " "))).otherwise(runs(width))
+    keys = items.select("item_id", F.explode(F.array_distinct(own)).alias("key"))
+    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    held = words.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
+    found = held.join(keys, "key").select("doc_id", "item_id").distinct()
+    if cap is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))
+    return found.withColumn("__r", rank).where(F.col("__r") <= cap).drop("__r")
+
+
 def entities(chunks: DataFrame, label: str = "label", text: str = "entity") -> DataFrame:
     """(entity_key, doc_id, chunk_no): one row per entity and chunk; the key is the
     label and the trimmed lower-case text."""

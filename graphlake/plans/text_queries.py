@@ -85,6 +85,11 @@ def mentions_links(spark, sf_dir):
     return documents.mentions(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), cap=10_000)
 
 
+@query()
+def mentions_links_whole(spark, sf_dir):
+    return documents.passages(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query("""SELECT upper(event_type) || '|' || lower(trim(CAST(user_id AS VARCHAR))) AS entity_key, count(DISTINCT event_id) AS n FROM events
   WHERE lower(event_type) = 'click' GROUP BY 1 ORDER BY n DESC, entity_key LIMIT 20""")
 def entity_mentions(spark, sf_dir):

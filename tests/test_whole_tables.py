@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from graphlake.operators import documents
 from graphlake.sources.tables import KINDS, VERTEX
 
 AT = "/root/testdata/sf0.001"
@@ -33,6 +34,14 @@ def test_triangles_of_all_parts(spark, tables):
     assert run(spark, "triangle_total_whole") == [(sum(want.values()) // 3,)]
 
 
+def test_passages(spark):
+    item = [f"w{i}" for i in range(20)]
+    items = [(1, " ".join(item)), (2, "only  three words"), (3, " "), (4, None)]
+    docs = [(1, " ".join(["x", *item[10:]])), (2, " ".join(["y", *item[1:]])), (3, " ".join(item[:7])), (4, "these only three\nwords"), (5, "three words only"), (6, None)]
+    found = documents.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (4, 2)]
+
+
 def test_components_and_costs_of_all_supply_edges(spark, tables):
     line = tables["lineitem"]
     arcs = defaultdict(lambda: float("inf"))
