@@ -4,7 +4,7 @@ Scripts, styles, comments and other markup that is never text are left out.
 Inline elements do not part a block; every block element does. Unclosed and
 stray tags are taken as a browser would: a block start closes an open
 paragraph, an item closes the item before it, and an end tag closes whatever
-stands open inside it.
+stands open inside it. A head ends at the first tag or text that cannot stand in it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from html.parser import HTMLParser
 
 # Element names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template noscript head title svg math iframe object canvas select option textarea datalist audio video".split())
+HIDDEN = set("script style template noscript head title svg iframe select option textarea datalist".split())
+#: What may stand in a head; anything else ends one that is open.
+HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = set(
     "html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -75,6 +77,8 @@ class _Builder(HTMLParser):
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD and tag != "body":
+            self._end_head()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
@@ -119,7 +123,13 @@ class _Builder(HTMLParser):
             if tag not in BLOCK and tag not in HIDDEN and self.open[k][0] in BLOCK:
                 return  # an inline end tag closes nothing outside its block
 
+    def _end_head(self) -> None:
+        if self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:

@@ -134,3 +134,14 @@ def test_operators_stand_alone():
                 if f.endswith(".py"):
                     with open(os.path.join(folder, f)) as source:
                         assert "graphlake.llm" not in source.read()
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>T</title>", "<html><head><title>T</title><meta charset=utf-8><style>s</style></head><body>", "<head><script>x</script><title>T</title>", "<head><title>T</title><body>"])
+def test_head_may_stay_open(start):
+    tree = parse(start + "<h1>A</h1><p>Let <math><mi>x</mi></math> be <object>one</object>.</p>")
+    assert [text for tag, text in zip(tree.tag, tree.text) if tag == "#"] == ["A", "Let x be one."]
+
+
+def test_text_ends_a_head():
+    tree = parse("<html><head><title>T</title>\nbare text<p>more")
+    assert [text for tag, text in zip(tree.tag, tree.text) if tag == "#"] == ["bare text", "more"]
