@@ -3,11 +3,11 @@ error and no change at all."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.graph import EDGE_COLUMNS, Graph
+from graphlake.sources.workspace import written
 
 
 class Conflict(ValueError):
@@ -24,7 +24,7 @@ def dense_ids(df: DataFrame, order: str = "id", start: int = 0, into: str = "new
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    ranged = ranged.persist(StorageLevel.DISK_ONLY_2)
+    ranged = written(ranged, "numbered")  # counts and ids are of one evaluation
     counts = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("lo")).orderBy("__p").collect()
     base, at = [], start
     for p, size, low in counts:
@@ -108,10 +108,21 @@ def remove_elements(graph: Graph, ids: DataFrame) -> Graph:
 
 
 def set_embeddings(embeddings: DataFrame, changes: DataFrame) -> DataFrame:
-    """Upsert (element_id, name, vector, model); a null vector removes."""
+    """Upsert (element_id, name, vector, model); a null vector removes. Of several
+    changes of one key that with the greatest ``ord`` holds. A name must be given,
+    the numbers finite, and as many as the name's other vectors have."""
     key = ["element_id", "name"]
-    kept = embeddings.join(changes.select(key), key, "left_anti")
-    return kept.unionByName(changes.where("vector is not null"), allowMissingColumns=True)
+    rank = F.col("ord") if "ord" in changes.columns else F.lit(0)
+    rest = [c for c in changes.columns if c not in (*key, "ord")]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(rank, *rest)).alias("__last")).select(*key, "__last.*")
+    if last.where("name is null or trim(name) = ''").limit(1).count():
+        raise ValueError("an embedding needs a name")
+    if last.where("exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity'))").limit(1).count():
+        raise ValueError("an embedding holds a number that is not finite")
+    out = embeddings.join(last.select(key), key, "left_anti").unionByName(last.where("vector is not null"), allowMissingColumns=True)
+    if out.groupBy("name").agg(F.count_distinct(F.size("vector")).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("vectors of one name differ in length")
+    return out
 
 
 def trim(graph: Graph) -> Graph:

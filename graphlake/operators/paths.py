@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlake.graph import Graph, walkable
-from graphlake.operators.components import materialised
+from graphlake.sources.workspace import materialised
 
 STEP = "struct<edge_id:bigint,edge_type:string,direction:string,src:bigint,dst:bigint,weight:double>"
 

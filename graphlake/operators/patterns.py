@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.graph import Graph, walkable
-from graphlake.operators.components import materialised
+from graphlake.sources.workspace import materialised
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphlake.operators.components import materialised
+from graphlake.sources.workspace import materialised
 
 METRICS = ("cosine", "dot", "l2")
 

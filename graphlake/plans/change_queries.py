@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphlake.graph import Graph
 from graphlake.operators import mutate
-from graphlake.operators.components import _shared
+from graphlake.sources.workspace import shared_dir
 from graphlake.plans.registry import query
 from graphlake.plans.scan_queries import EDGES_SQL, ID, VERTICES_SQL
 from graphlake.sources import jsonl, synthetic, versions
@@ -17,7 +17,7 @@ from graphlake.streaming import feed
 
 
 def _path(spark, what: str) -> str:
-    return f"{_shared(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 @query(f"SELECT count(*) AS n, max(id) - (SELECT max(id) FROM {EDGES_SQL}) AS above FROM (SELECT id FROM {VERTICES_SQL} UNION ALL SELECT (SELECT max(id) FROM {EDGES_SQL}) + 1 + i FROM range(3) AS r(i))")
@@ -66,7 +66,7 @@ def mutate_trim(spark, sf_dir):
 @query("SELECT vec_id AS element_id FROM embeddings WHERE vec_id >= 3 UNION ALL SELECT CAST(-1 AS BIGINT)")
 def mutate_embeddings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("element_id"), F.lit("default").alias("name"), F.col("embedding").alias("vector"))
-    changes = spark.createDataFrame([(0, "default", None), (1, "default", None), (2, "default", None), (-1, "default", [1.0])], "element_id long, name string, vector array<float>")
+    changes = spark.createDataFrame([(0, "default", None), (1, "default", None), (2, "default", None), (-1, "default", [1.0] * 64)], "element_id long, name string, vector array<float>")
     return mutate.set_embeddings(e, changes).select("element_id")
 
 
