@@ -7,27 +7,48 @@ shingle sets of the bucket members then meet in blocks of bounded size, where
 each pair is verified exactly and counted in the first bucket it shares. What
 leaves a block is one row per member, never its pairs, so a group of n near
 copies costs n rows and not n squared.
+
+A class is told by the least of its rows: (rep, mark), the document id, or for
+classes of rows without an id a hash of the text, and a hash of the text. So
+rows without an id are compared like any other, and one id may have many texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import keyed_texts, written
+from graphlake.llm.common import discard, keyed_texts, stored, tidied, written
 from graphlake.llm.minhash import Permutations, band_hashes, bands_for, shingles
 from graphlake.operators.components import connected_components
 
 ROWS = 6
 RECALL = 0.9999
-#: Members of one block, on average; a task holds two blocks.
+#: Members and bytes of shingles of one block, on average; a task holds two blocks.
 BLOCK = 128
+BLOCK_BYTES = 32 << 20
+CLASS = ["rep", "mark"]
+
+
+@dataclass(frozen=True)
+class Banding:
+    """Which signature is cut into bands: ``bands`` of ``rows`` values of ``bits`` bits."""
+
+    bands: int
+    rows: int
+    seed: int = 1
+    bits: int = 32
+
+    @classmethod
+    def for_recall(cls, threshold: float, rows: int = ROWS, recall: float = RECALL) -> Banding:
+        return cls(bands_for(threshold, rows, recall), rows)
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -72,26 +93,29 @@ def digest(text: str) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def signatures(texts: DataFrame, threshold: float, width: int, rows: int, recall: float) -> DataFrame:
-    """One row per input row: doc_id, k1, k2 (:func:`digest`) and its band hashes
-    (null without a word), written to the shared folder."""
-    bands = bands_for(threshold, rows, recall)
+def signatures(texts: DataFrame, width: int, banding: Banding) -> DataFrame:
+    """One row per input row: doc_id, mark (hash of the text), k1, k2
+    (:func:`digest`), its number of shingles and its band hashes (null without a
+    word)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Permutations(bands * rows)
+        hashes = Permutations(banding.bands * banding.rows, banding.seed)
+        low = np.uint32((1 << banding.bits) - 1)
         for batch in batches:
-            marks, signs = [], []
-            for text in batch.column(1).to_pylist():
+            marks, sizes, signs = [], [], []
+            for text in batch.column(2).to_pylist():
                 marks.append(digest(text))
                 sh = shingles(text, width)
-                signs.append(band_hashes(hashes.signature(sh), rows).tobytes() if len(sh) else None)
+                sizes.append(len(sh))
+                signs.append(band_hashes(hashes.signature(sh) & low, banding.rows).tobytes() if len(sh) else None)
             k1, k2 = ([m[k] for m in marks] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(signs, pa.binary())],
-                ["doc_id", "k1", "k2", "bands"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (k1, k2, sizes)), pa.array(signs, pa.binary())],
+                ["doc_id", "mark", "k1", "k2", "size", "bands"],
             )
 
-    return written(texts.mapInArrow(sign, "doc_id long, k1 long, k2 long, bands binary"), "signed")
+    rows = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(tidied(sign), "doc_id long, mark long, k1 long, k2 long, size long, bands binary")
 
 
 def _exploded(reps: DataFrame) -> DataFrame:
@@ -99,134 +123,176 @@ def _exploded(reps: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = [np.frombuffer(b, "<i8") for b in batch.column(2).to_pylist()]
+            bands = [np.frombuffer(b, "<i8") for b in batch.column(3).to_pylist()]
             if bands:
                 per = len(bands[0])
-                keys = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), per) for k in (0, 1)]
+                keys = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), per) for k in (0, 1, 2)]
                 band = np.tile(np.arange(per, dtype=np.int32), len(bands))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, band, np.concatenate(bands))], ["class_id", "k1", "band", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, band, np.concatenate(bands))], [*CLASS, "size", "band", "bucket"])
+
+    return reps.select(*CLASS, "size", "bands").mapInArrow(explode, "rep long, mark long, size long, band int, bucket long")
 
-    return reps.select("class_id", "k1", "bands").mapInArrow(explode, "class_id long, k1 long, band int, bucket long")
 
+def _at(doc_id: str = "doc_id", mark: str = "mark") -> Column:
+    """What stands for a row's id: the id, or the text's hash."""
+    return F.coalesce(doc_id, mark)
 
-def verified(texts: DataFrame, threshold: float, width: int, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, found): members has doc_id, class_id, k1 of every row; found has,
-    for a class (class_id, k1) and a block it was compared in, its links there and
-    ``root``, the least class id of those it hangs together with in that block."""
-    signed = signatures(texts, threshold, width, rows, recall)
+
+def verified(texts: DataFrame, threshold: float, width: int, banding: Banding | None = None, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(members, found): members has doc_id and text_mark of every row, the class
+    (rep, mark) it is in, and class_id, the least id in the class; found has, for a
+    class and a block it was compared in, its links there and the ``root``, the
+    least class of those it hangs together with in that block."""
+    spark = texts.sparkSession
+    signed, p1 = stored(signatures(texts, width, banding or Banding.for_recall(threshold)), "signed")
     # As a table of its own, so that the join can split a text that many rows have.
-    named = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = written(
-        signed.join(named, ["k1", "k2"]).select("doc_id", "class_id", "k1", F.when(F.expr("doc_id = class_id"), F.col("bands")).alias("bands")),
+    least = F.min(F.struct(F.isnull("doc_id").alias("anonymous"), _at().alias("rep"), "mark")).alias("least")
+    named, p2 = stored(signed.groupBy("k1", "k2").agg(least).select("k1", "k2", "least.*"), "classes")
+    joined = signed.withColumnRenamed("mark", "text_mark").join(named, ["k1", "k2"])
+    own = F.expr("rep = coalesce(doc_id, text_mark) and mark = text_mark and anonymous = (doc_id is null)")
+    members, _ = stored(
+        joined.select("doc_id", "text_mark", *CLASS, F.when(~F.col("anonymous"), F.col("rep")).alias("class_id"), "size", F.when(own, F.col("bands")).alias("bands")),
         "members",
     )
-    reps = members.where("bands is not null").groupBy("class_id", "k1").agg(F.first("bands").alias("bands"))
-    bands = written(_exploded(reps), "bands")
+    reps = members.where("bands is not null").groupBy(*CLASS).agg(F.first("bands").alias("bands"), F.first("size").alias("size"))
+    bands, p3 = stored(_exploded(reps), "bands")
     # A bucket's members are told by their count, the least one and two xors of hashes.
     told = ["n", "lead", "x1", "x2"]
     buckets = (
         bands.groupBy("bucket")
         .agg(
             F.count("*").alias("n"),
-            F.min("class_id").alias("lead"),
-            *(F.expr(f"bit_xor(xxhash64(class_id, k1, {i}))").alias(f"x{i}") for i in (1, 2)),
+            F.sum("size").alias("sizes"),
+            F.min("rep").alias("lead"),
+            *(F.expr(f"bit_xor(xxhash64(rep, mark, {i}))").alias(f"x{i}") for i in (1, 2)),
         )
         .where("n > 1")
     )
     same = buckets.groupBy(told).agg(F.min("bucket").alias("unit"))
-    buckets = buckets.join(same, told).select("bucket", "unit", "n")
-    shared = written(bands.join(buckets, "bucket").select("class_id", "k1", "band", "unit", "n"), "shared")
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("sizes") * 8 / F.lit(block_bytes))).cast("int")
+    buckets = buckets.join(same, told).select("bucket", "unit", blocks.alias("blocks"))
+    shared, p4 = stored(bands.join(buckets, "bucket").select(*CLASS, "band", "unit", "blocks"), "shared")
 
-    own = shared.groupBy("class_id", "k1").agg(F.collect_list(F.struct("band", "unit")).alias("own"))
-    needed = own.select(F.col("class_id").alias("doc_id"), "k1", F.col("own.band").alias("own_band"), F.col("own.unit").alias("own_unit"))
+    own = shared.groupBy(*CLASS).agg(F.collect_list(F.struct("band", "unit")).alias("own"))
+    needed = own.select(F.col("rep").alias("at"), "mark", F.col("own.band").alias("own_band"), F.col("own.unit").alias("own_unit"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # rows that repeat an id and a text give one set
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            # An id may have several texts; the class is of one of them.
-            right = [i for i, (t, k1) in enumerate(zip(texts, batch.column(2).to_pylist())) if digest(t)[0] == k1]
-            kept = batch.take(pa.array(right, pa.int64()))
-            sets = [shingles(texts[i], width).tobytes() for i in right]
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            first = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            kept = batch.take(pa.array(first, pa.int64()))
+            sets = [shingles(t, width).tobytes() for t in kept.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [kept.column(0), kept.column(2), pa.array(sets, pa.binary()), kept.column(3), kept.column(4)],
-                ["class_id", "k1", "shingles", "own_band", "own_unit"],
+                [kept.column(0), kept.column(1), pa.array(sets, pa.binary()), kept.column(3), kept.column(4)],
+                [*CLASS, "shingles", "own_band", "own_unit"],
             )
 
+    keyed = texts.withColumn("mark", F.xxhash64("text")).withColumn("at", _at())
     sets = (
-        texts.join(needed, "doc_id")
-        .select("doc_id", "text", "k1", "own_band", "own_unit")
-        .mapInArrow(to_sets, "class_id long, k1 long, shingles binary, own_band array<int>, own_unit array<long>")
+        keyed.join(needed, ["at", "mark"])
+        .select("at", "mark", "text", "own_band", "own_unit")
+        .mapInArrow(tidied(to_sets), "rep long, mark long, shingles binary, own_band array<int>, own_unit array<long>")
     )
     units = (
-        shared.select("class_id", "k1", "unit", "n")
+        shared.select(*CLASS, "unit", "blocks")
         .distinct()
-        .withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("class_id", "k1", "unit"), F.col("blocks")).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64(*CLASS, "unit"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("class_id", "k1", "unit", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select(*CLASS, "unit", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         unit, bi, bj = key
-        rows = rows.drop_duplicates(["class_id", "k1"]).sort_values(["class_id", "k1"]).reset_index(drop=True)
-        ids = rows["class_id"].to_numpy()
+        rows = rows.drop_duplicates(CLASS).sort_values(CLASS).reset_index(drop=True)
+        reps, marks = (rows[c].to_numpy() for c in CLASS)
         mine = rows["mine"].to_numpy()
         left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
         if not len(left) or not len(right):
-            return pd.DataFrame({"class_id": ids[:0], "k1": ids[:0], "links": ids[:0], "root": ids[:0]})
+            return pd.DataFrame({c: reps[:0] for c in (*CLASS, "links", "root_rep", "root_mark")})
         a, b = _overlaps([np.frombuffer(s, np.uint64) for s in rows["shingles"]], left, right, threshold)
         if bi == bj:
             a, b = a[a < b], b[a < b]
-        own = np.zeros((len(ids), 1 + max(max(x) for x in rows["own_band"])), np.int64)
+        own = np.zeros((len(reps), 1 + max(max(x) for x in rows["own_band"])), np.int64)
         has = np.zeros(own.shape, bool)
         for r, (band, of) in enumerate(zip(rows["own_band"], rows["own_unit"])):
             own[r, band], has[r, band] = of, True
         both = (own[a] == own[b]) & has[a] & has[b]
         here = own[a, both.argmax(axis=1)] == unit
         a, b = a[here], b[here]
-        links = np.bincount(np.concatenate([a, b]), minlength=len(ids))
-        roots = ids[_roots(len(ids), zip(a.tolist(), b.tolist()))]
+        links = np.bincount(np.concatenate([a, b]), minlength=len(reps))
+        roots = np.array(_roots(len(reps), zip(a.tolist(), b.tolist())))
         hit = links > 0
-        return pd.DataFrame({"class_id": ids[hit], "k1": rows["k1"].to_numpy()[hit], "links": links[hit], "root": roots[hit]})
-
-    found = units.join(sets, ["class_id", "k1"]).groupBy("unit", "i", "j").applyInPandas(verify, "class_id long, k1 long, links long, root long")
-    return members.select("doc_id", "class_id", "k1"), written(found, "links")
-
-
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links.
-
-    class_id is the least id among the documents with the same word sequence;
-    n_links counts the other classes whose shingle sets have a Jaccard of
-    ``threshold`` or more with this one's. Texts without a word (null, empty,
-    white space) form one class without links. Repeated rows are one class; an id
-    with several texts has a row in the class of each. A row with a null id has
-    the class of its text if a document with an id has that text, else a null
-    class that is compared with nothing. An empty table gives no rows; other
-    columns are not read.
+        columns = {"rep": reps[hit], "mark": marks[hit], "links": links[hit], "root_rep": reps[roots[hit]], "root_mark": marks[roots[hit]]}
+        return pd.DataFrame(columns)
+
+    found = units.join(sets, CLASS).groupBy("unit", "i", "j").applyInPandas(verify, "rep long, mark long, links long, root_rep long, root_mark long")
+    links = written(found, "links")
+    discard(spark, p1, p2, p3, p4)
+    return members.drop("bands", "size"), links
+
+
+def grouped(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes that hang together by links: (rep, mark, group_rep, group_mark,
+    group_id); group_id is the least document id among them, null without any."""
+    ends = found.select(F.struct(*CLASS).alias("src"), F.struct(F.col("root_rep").alias("rep"), F.col("root_mark").alias("mark")).alias("dst"))
+    parts = connected_components(ends).select("id.*", F.col("component.rep").alias("group_rep"), F.col("component.mark").alias("group_mark"))
+    # One row a class before the join, so that a class of many rows is not dealt to one task.
+    classes = written(members.select(*CLASS, "class_id").distinct().join(parts, CLASS), "grouped")
+    # A table of its own, so that a group of many classes is split.
+    leads = written(classes.groupBy("group_rep", "group_mark").agg(F.min("class_id").alias("group_id")), "leads")
+    return written(classes.drop("class_id").join(leads, ["group_rep", "group_mark"]), "groups")
+
+
+def jaccard_join(
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", banding: Banding | None = None
+) -> DataFrame:
+    """One row per input row: doc_id, class_id, text_id, n_links.
+
+    text_id is the least id among the documents with the same word sequence;
+    n_links counts the other word sequences whose shingle sets have a Jaccard of
+    ``threshold`` or more with this one's. class_id is the least id among all that
+    equal texts and links join, directly or through others. Texts without a word
+    (null, empty, white space) form one class without links. Repeated rows are one
+    text; an id with several texts has a row for each. A row without an id is
+    compared like any other; where no document of its text or class has an id,
+    text_id or class_id is null. An empty table gives no rows; other columns are
+    not read.
     """
-    texts = keyed_texts(docs, id_col, text_col)
-    members, found = verified(texts, threshold, width)
+    members, found = verified(keyed_texts(docs, id_col, text_col), threshold, width, banding)
+    groups = grouped(members, found).select(*CLASS, "group_id")
     # A table too, so that this join can split a class that many rows have.
-    links = written(found.groupBy("class_id", "k1").agg(F.sum("links").alias("n_links")), "link-counts")
-    return members.join(links, ["class_id", "k1"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = written(found.groupBy(*CLASS).agg(F.sum("links").alias("n_links")).join(groups, CLASS), "link-counts")
+    return members.join(told, CLASS, "left").select(
+        "doc_id",
+        F.when(F.isnull("n_links"), F.col("class_id")).otherwise(F.col("group_id")).alias("class_id"),
+        F.col("class_id").alias("text_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id): documents joined by equal texts or links, directly or
     through others; group_id is the least id in the group."""
-    texts = keyed_texts(docs, id_col, text_col)
-    members, found = verified(texts, threshold, width)
-    groups = connected_components(found.select(F.col("class_id").alias("src"), F.col("root").alias("dst")))
-    return members.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("group_id"))
+    return jaccard_join(docs, threshold, width, id_col, text_col).select("doc_id", F.col("class_id").alias("group_id"))
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each group of
-    documents that links join, the one with the least id stays, once. Rows with a
-    null id stay. An id with several texts goes if any of them is another's copy."""
-    groups = near_groups(docs, threshold, width, id_col, text_col)
-    losers = written(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__loser")).distinct(), "losers")
-    kept = docs.join(losers, F.col(id_col).cast("long") == F.col("__loser"), "left_anti")
-    again = kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"])
-    return again.select(*(F.col(f"`{c}`") for c in docs.columns))
+    texts that links join, the row with the least id stays, once (of equal ids that
+    of the least text hash; a row without an id only where none has one). A row is
+    told by id and text, so another text of the same id is judged on its own."""
+    members, found = verified(keyed_texts(docs, id_col, text_col), threshold, width)
+    groups = grouped(members, found)
+    group = [F.coalesce("group_rep", "rep").alias("group_rep"), F.coalesce("group_mark", "mark").alias("group_mark")]
+    rows = members.join(groups, CLASS, "left").select(*group, F.isnull("doc_id").alias("anonymous"), _at("doc_id", "text_mark").alias("at"), "text_mark").distinct()
+    rows = written(rows, "rows")
+    keeper = F.min(F.struct("anonymous", "at", "text_mark")).alias("keeper")
+    keepers = written(rows.groupBy("group_rep", "group_mark").agg(keeper), "keepers")
+    lost = rows.join(keepers, ["group_rep", "group_mark"]).where(F.struct("anonymous", "at", "text_mark") != F.col("keeper"))
+    losers = written(lost.select(F.col("anonymous").alias("__anonymous"), F.col("at").alias("__at"), F.col("text_mark").alias("__lost")), "losers")
+    key = F.col(f"`{id_col}`").cast("long")
+    mark = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    told = docs.withColumn("__mark", mark).withColumn("__id", F.coalesce(key, F.col("__mark"))).withColumn("__none", F.isnull(key))
+    kept = told.join(losers, [F.col("__none") == F.col("__anonymous"), F.col("__id") == F.col("__at"), F.col("__mark") == F.col("__lost")], "left_anti")
+    return kept.dropDuplicates(["__none", "__id", "__mark"]).select(*(F.col(f"`{c}`") for c in docs.columns))

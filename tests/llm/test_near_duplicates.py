@@ -19,22 +19,29 @@ def shingle_set(text):
 
 
 def brute(rows, threshold=0.8):
-    """{doc_id: (class_id, n_links)} and {doc_id: group_id}."""
-    classes = {}
+    """[(doc_id, class_id, text_id, n_links)] of the rows, in order."""
+    texts = {}
     for i, t in rows:
-        classes.setdefault(tuple((t or "").split()), []).append(i)
-    reps = {min(ids): shingle_set(" ".join(words)) for words, ids in classes.items()}
-    links = [(a, b) for a, b in itertools.combinations(sorted(reps), 2) if reps[a] and reps[b] and len(reps[a] & reps[b]) >= threshold * len(reps[a] | reps[b])]
-    root = {i: min(ids) for ids in classes.values() for i in ids}
-    group = {i: i for i in reps}
+        texts.setdefault(tuple((t or "").split()), []).append(i)
+    sets = {t: shingle_set(" ".join(t)) for t in texts}
+    links = [(a, b) for a, b in itertools.combinations(texts, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    group = {t: t for t in texts}
 
     def find(x):
         return x if group[x] == x else find(group[x])
 
     for a, b in links:
-        a, b = find(a), find(b)
-        group[max(a, b)] = min(a, b)
-    return {i: (c, sum(c in pair for pair in links)) for i, c in root.items()}, {i: find(c) for i, c in root.items()}
+        group[find(a)] = find(b)
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    ids = {}
+    for t, own in texts.items():
+        ids.setdefault(find(t), []).extend(own)
+    told = [(i, tuple((t or "").split())) for i, t in rows]
+    return [(i, least(ids[find(t)]), least(texts[t]), sum(t in pair for pair in links)) for i, t in told]
+
+
+def same(df, want):
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
 
 
 def planted(seed=5):
@@ -50,10 +57,6 @@ def planted(seed=5):
     return rows + [(200, None), (201, ""), (202, " \n"), (203, "one two"), (204, "one two"), (205, "one two three")]
 
 
-def as_dict(df):
-    return {r[0]: tuple(r[1:]) for r in df.collect()}
-
-
 def test_shingles_are_hashes_of_word_runs():
     a, b = "a b c d e f g h", "x a  b c d e f\tg h"
     assert len(shingles(a)) == 4 and len(set(shingles(a)) & set(shingles(b))) == 4
@@ -64,12 +67,12 @@ def test_shingles_are_hashes_of_word_runs():
 def test_join_equals_brute_force(make_docs):
     rows = planted()
     docs = make_docs(rows)
-    classes, groups = brute(rows)
-    assert any(n > 2 for _, n in classes.values())
-    assert as_dict(jaccard_join(docs)) == classes
-    assert {k: v[0] for k, v in as_dict(near_groups(docs)).items()} == groups
-    assert sorted(r.doc_id for r in one_of_each_group(docs).collect()) == sorted(set(groups.values()))
-    assert as_dict(near_duplicates(docs)) == classes
+    want = brute(rows)
+    assert any(n > 2 for *_, n in want) and any(c != t for _, c, t, _ in want)
+    same(jaccard_join(docs), want)
+    same(near_duplicates(docs), want)
+    same(near_groups(docs), [(i, c) for i, c, *_ in want])
+    assert sorted(r.doc_id for r in one_of_each_group(docs).collect()) == sorted({c for _, c, *_ in want})
 
 
 def test_hot_groups_meet_in_blocks(make_docs):
@@ -80,24 +83,41 @@ def test_hot_groups_meet_in_blocks(make_docs):
         words = list(base)
         words[rng.randrange(80)] = f"x{i}"
         rows.append((i, " ".join(words)))
-    _, found = verified(keyed_texts(make_docs(rows)), 0.8, 5, block=8)
-    links = {r[0]: r[1] for r in found.groupBy("class_id").sum("links").collect()}
-    assert links == {c: n for c, n in {c: n for c, n in brute(rows)[0].values()}.items() if n}
+    texts = keyed_texts(make_docs(rows))
+    for how in ({"block": 8}, {"block_bytes": 4000}):
+        _, found = verified(texts, 0.8, 5, **how)
+        links = {r[0]: r[1] for r in found.groupBy("rep").sum("links").collect()}
+        assert links == {t: n for _, _, t, n in brute(rows) if n}
 
 
-def test_null_ids_repeated_rows_and_empty_tables(make_docs):
+def test_rows_without_an_id_and_ids_with_several_texts(make_docs):
     text = " ".join(f"w{i}" for i in range(30))
-    docs = make_docs([(1, text), (1, text), (2, text + " more"), (None, text), (None, "lonely text here"), (2, "other text of the same id")])
-    got = sorted(jaccard_join(docs).collect(), key=str)
-    assert [tuple(r) for r in got if r.class_id == 1] == [(1, 1, 1), (1, 1, 1), (None, 1, 1)]
-    assert len(got) == 6 and len(one_of_each_group(docs).where("doc_id = 1").collect()) == 1
-    assert one_of_each_group(docs).columns == docs.columns
+    rows = [(1, text), (1, text), (2, text + " more"), (None, text), (None, "lonely text here"), (None, text + " else"), (None, text + " else"), (7, text + " some"), (7, "a text of seven that copies nothing")]
+    docs = make_docs(rows)
+    want = brute(rows)
+    assert {n for *_, n in want} == {0, 3}
+    same(jaccard_join(docs), want)
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, text), (None, "lonely text here"), (7, "a text of seven that copies nothing")], key=str)
+    anonymous = make_docs([(None, text), (None, text + " x"), (None, text)])
+    same(jaccard_join(anonymous), [(None, None, None, 1)] * 3)
+    assert one_of_each_group(anonymous).count() == 1
     assert jaccard_join(make_docs([])).count() == 0 and one_of_each_group(make_docs([])).count() == 0
 
 
+def test_very_long_texts_and_ties(make_docs):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    edge = [f"e{i}" for i in range(13)]  # 9 shingles; with 8 of 10 in common the similarity is 0.8
+    rows = [(1, long), (2, long + " tail"), (3, " ".join(edge[:12])), (4, " ".join([*edge[:12], "x", "y"])), (5, None)]
+    want = brute(rows)
+    assert want[2][3] == 1
+    same(jaccard_join(make_docs(rows)), want)
+
+
 def test_join_query(spark, small):
     docs = pd.read_parquet(f"{small}/documents.parquet")
-    assert as_dict(queries()["op5_ngram_jaccard_join"](spark, small)) == brute(list(zip(docs.doc_id.tolist(), docs.text)))[0]
+    same(queries()["op5_ngram_jaccard_join"](spark, small), brute(list(zip(docs.doc_id.tolist(), docs.text))))
 
 
 def check_edits(got, rows):
