@@ -4,9 +4,10 @@ A line's key is hashed to 128 bits. The hashes of the keys that enough
 documents share are dealt into shards of bounded size; a shard is a minimal
 perfect hash (levels of bit arrays, a key's index is the rank of its bit) over
 three arrays: a 64-bit fingerprint, the number of documents, and the largest
-document id. Documents probe the arrays; their lines are not joined. Shards go
-to the executors by broadcast while they stay under ``broadcast_bytes``; beyond
-that the line hashes are joined to the same table instead.
+document id. The line hashes of the documents are dealt to the same shards and
+probe the arrays there, 32 bytes a line; a shard that common lines make hot is
+copied and its lines are dealt among the copies. The lines to drop come back to
+their document by its id and a hash of its text.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import keyed_texts, written
+from graphlake.llm.common import keyed_texts, partitions, tidied, written
 from graphlake.llm.minhash import mix
 
 # What is stripped from both ends of a line.
 EDGES = b" \t\n\x0b\x0c\r"
+#: Keys of a shard and lines that probe one copy of it, on average, at most.
 SHARD_KEYS = 100_000
+PROBE_LINES = 500_000
 
 
 class PerfectHash:
@@ -82,11 +85,10 @@ class Shard:
         self.mph = PerfectHash.from_bytes(mph)
         self.prints, self.counts, self.lasts = np.frombuffer(prints, "<u8"), np.frombuffer(counts, "<i8"), np.frombuffer(lasts, "<i8")
 
-    def dropped(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether each line goes: its key is stored and another document keeps it."""
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Where each key stands in the arrays, -1 for a key that is not stored."""
         at = self.mph.index(h1)
-        known = (at >= 0) & (self.prints[at] == h2)
-        return known & (self.lasts[at] != doc)
+        return np.where((at >= 0) & (self.prints[at] == h2), at, -1)
 
 
 def key_of(line: bytes, min_chars: int) -> bytes | None:
@@ -112,42 +114,74 @@ def _encode(text: str) -> bytes:
 
 
 def line_hashes(texts: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, doc_id), once per row and key."""
+    """(h1, h2, doc_id, mark), once per row and key; mark is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, owners = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.unique(_hashes(_encode(text).split(b"\n"), min_chars)[1], axis=0)
-                hashes.append(own)
-                owners += [doc] * len(own)
+            hashes = [np.unique(_hashes(_encode(text).split(b"\n"), min_chars)[1], axis=0) for text in batch.column(2).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
             both = np.concatenate(hashes).view("<i8") if hashes else np.zeros((0, 2), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(owners, pa.int64())], ["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(owner), batch.column(1).take(owner)], ["h1", "h2", "doc_id", "mark"])
 
-    return texts.mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return texts.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tidied(run), "h1 long, h2 long, doc_id long, mark long")
 
 
-def shared_lines(texts: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, n_docs, last_doc) of the keys that at least min_docs rows hold."""
-    grouped = line_hashes(texts, min_chars).groupBy("h1", "h2")
-    return grouped.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, n_docs, last_doc) of the keys that at least min_docs ids hold."""
+    held = lines.where("doc_id is not null").select("h1", "h2", "doc_id").distinct()
+    return held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
 
 
 def build_shards(shared: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: its perfect hash and arrays. A shard holds about
-    SHARD_KEYS keys, since hashes deal them evenly."""
+    """One row per shard: its perfect hash and arrays. Hashes deal the keys evenly."""
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h1 = rows["h1"].to_numpy().view(np.uint64)
+    def build(table: pa.Table) -> pa.Table:
+        h1 = table["h1"].to_numpy().view(np.uint64)
         mph = PerfectHash.build(h1)
         at = mph.index(h1)
-        arrays = [np.zeros(len(rows), t) for t in ("<u8", "<i8", "<i8")]
+        arrays = [np.zeros(len(h1), t) for t in ("<u8", "<i8", "<i8")]
         for array, name in zip(arrays, ("h2", "n_docs", "last_doc")):
-            array[at] = rows[name].fillna(np.iinfo(np.int64).min).to_numpy().astype(np.int64).view(array.dtype)
-        return pd.DataFrame({"shard": [key[0]], "mph": [mph.to_bytes()]} | {n: [a.tobytes()] for n, a in zip(("prints", "counts", "lasts"), arrays)})
+            array[at] = table[name].to_numpy().view(array.dtype)
+        parts = {n: [a.tobytes()] for n, a in zip(("prints", "counts", "lasts"), arrays)}
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "mph": [mph.to_bytes()]} | parts)
 
-    shard = F.pmod("h1", F.lit(shards)).cast("int")
-    return shared.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, mph binary, prints binary, counts binary, lasts binary")
+    return shared.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, "shard int, mph binary, prints binary, counts binary, lasts binary")
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("h1", F.lit(shards)).cast("int")
+
+
+def dropped_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, mark, h1, h2) of the lines that go: their key is shared, and
+    another document holds it last."""
+    shared = written(shared_lines(lines, min_docs), "shared-lines")
+    n, total = shared.count(), lines.count()
+    shards = max(1, -(-n // SHARD_KEYS), -(-total // PROBE_LINES), min(n, partitions(lines.sparkSession)))
+    table = written(build_shards(shared, shards), "line-shards")
+    # Shards with over twice the mean: half of all at most, 12 bytes each.
+    share = max(1, 2 * total // shards)
+    dealt = lines.withColumn("shard", _shard(shards))
+    hot = dealt.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(share)).cast("int").alias("copies")).where("copies > 1")
+    hot = F.broadcast(written(hot, "hot-shards"))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = dealt.join(hot, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", "mark"), copies)).drop("copies")
+    table = table.join(hot, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - F.lit(1).cast("long")))).drop("copies")
+
+    def probe(own: pa.Table, arrays: pa.Table) -> pa.Table:
+        gone = np.zeros(own.num_rows, bool)
+        if arrays.num_rows and own.num_rows:
+            shard = Shard(*(arrays[c][0].as_py() for c in ("mph", "prints", "counts", "lasts")))
+            h1, h2 = (own[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+            at = shard.find(h1, h2)
+            known = at >= 0
+            anonymous = own["doc_id"].is_null().to_numpy()
+            other = own["doc_id"].fill_null(0).to_numpy() != shard.lasts[at]
+            gone = known & (anonymous | other)
+        return own.select(["doc_id", "mark", "h1", "h2"]).filter(pa.array(gone))
+
+    keys = ["shard", "copy"]
+    return dealt.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInArrow(probe, "doc_id long, mark long, h1 long, h2 long")
 
 
 #: What becomes of a text, as one struct column.
@@ -159,39 +193,40 @@ def _without(lines: list[bytes], drop: set[int]) -> tuple[str, int, int]:
     return kept.decode("utf-8", "surrogatepass"), len(lines), len(drop)
 
 
-def with_verdict(
-    docs: DataFrame,
-    min_chars: int = 40,
-    min_docs: int = 5,
-    broadcast_bytes: int = 32 << 20,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    verdict: str = "__lines",
-) -> DataFrame:
+def with_verdict(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", verdict: str = "__lines") -> DataFrame:
     """All columns of ``docs`` and a struct of kept, n_lines and n_dropped."""
-    texts = keyed_texts(docs, id_col, text_col)
-    shared = written(shared_lines(texts, min_chars, min_docs), "shared-lines")
-    n = shared.count()
-    shards = max(1, -(-n // SHARD_KEYS))
-    table = written(build_shards(shared, shards), "line-shards")
-    size = table.select(F.sum(F.expr("length(mph) + length(prints) + length(counts) + length(lasts)"))).first()[0] or 0
-    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    if size <= broadcast_bytes:
-        return docs.withColumn(verdict, _prober(docs, [tuple(r) for r in table.collect()], shards, min_chars)(key, text))
-    return _joined(docs, texts, shared, min_chars, key, text, verdict)
+    lines = written(line_hashes(keyed_texts(docs, id_col, text_col), min_chars), "line-hashes")
+    gone = dropped_lines(lines, min_docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    # A table, so that the join can split an id and text that many rows repeat.
+    gone = written(gone.select(F.col("doc_id").alias("__drop_id"), F.col("mark").alias("__drop_mark"), F.col("gone.h1").alias("__g1"), F.col("gone.h2").alias("__g2")), "dropped-lines")
+
+    @F.pandas_udf(VERDICT)
+    def apply(texts: pd.Series, g1: pd.Series, g2: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, a, b in zip(texts, g1, g2):
+            own, drop = _encode(text).split(b"\n"), set()
+            if a is not None:
+                marked = set(zip(a.tolist(), b.tolist()))
+                at, h = _hashes(own, min_chars)
+                drop = {p for p, pair in zip(at, h.view("<i8").tolist()) if tuple(pair) in marked}
+            out.append(_without(own, drop))
+        return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
+    key, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    joined = docs.join(gone, key.eqNullSafe(F.col("__drop_id")) & (F.xxhash64(text) == F.col("__drop_mark")), "left")
+    return joined.withColumn(verdict, apply(text, F.col("__g1"), F.col("__g2"))).drop("__drop_id", "__drop_mark", "__g1", "__g2")
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, kept (its text without the dropped lines),
     n_lines before dropping, n_dropped.
 
-    Null and empty texts are one empty line. Each row counts as a document of its
-    own, so repeated rows with one id all keep the lines that this id holds last.
-    A row with a null id holds no line last, unless no row has an id. An empty
-    table gives no rows; other columns are not read.
+    Null and empty texts are one empty line. Rows that share an id are one document:
+    together they count once for a key, and where their id holds it last they all
+    keep it. A row without an id counts for no key and holds none last, so it loses
+    every shared line. An empty table gives no rows; other columns are not read.
     """
-    texts = keyed_texts(docs, id_col, text_col)
-    return with_verdict(texts, min_chars, min_docs, broadcast_bytes, verdict="lines").select("doc_id", "lines.*")
+    return with_verdict(keyed_texts(docs, id_col, text_col), min_chars, min_docs, verdict="lines").select("doc_id", "lines.*")
 
 
 def without_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,51 +234,3 @@ def without_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5
     becomes empty."""
     told = with_verdict(docs, min_chars, min_docs, id_col=id_col, text_col=text_col)
     return told.select(*(F.col("__lines.kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
-
-
-def _prober(docs: DataFrame, rows: list[tuple], shards: int, min_chars: int):
-    held = docs.sparkSession.sparkContext.broadcast(rows)
-
-    @F.pandas_udf(VERDICT)
-    def probe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        tables = {shard: Shard(*map(bytes, parts)) for shard, *parts in held.value}
-        for docs, texts in batches:
-            ids = docs.astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-            lines = [_encode(t).split(b"\n") for t in texts]
-            drop: dict[int, set[int]] = {}
-            if lines:
-                at, hashes = zip(*(_hashes(x, min_chars) for x in lines))
-                owner = np.repeat(np.arange(len(lines)), [len(x) for x in at])
-                h = np.concatenate(hashes)
-                where = h[:, 0].view(np.int64) % shards
-                gone = np.zeros(len(h), bool)
-                for shard, table in tables.items():
-                    own = np.flatnonzero(where == shard)
-                    gone[own] = table.dropped(h[own, 0], h[own, 1], ids[owner[own]])
-                position = np.concatenate([np.array(x, np.int64) for x in at])
-                for d, p in zip(owner[gone].tolist(), position[gone].tolist()):
-                    drop.setdefault(d, set()).add(p)
-            out = [_without(own, drop.get(d, set())) for d, own in enumerate(lines)]
-            yield pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
-
-    return probe
-
-
-def _joined(docs: DataFrame, texts: DataFrame, shared: DataFrame, min_chars: int, key: Column, text: Column, verdict: str) -> DataFrame:
-    """The same result without a broadcast: the hashes to drop meet their documents."""
-    hits = line_hashes(texts, min_chars).join(shared, ["h1", "h2"]).where("not (doc_id <=> last_doc)")
-    drop = hits.groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    drop = drop.select("__drop_id", F.col("__gone.h1").alias("__g1"), F.col("__gone.h2").alias("__g2"))
-
-    @F.pandas_udf(VERDICT)
-    def apply(texts: pd.Series, g1: pd.Series, g2: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, a, b in zip(texts, g1, g2):
-            gone = set(zip(a.tolist(), b.tolist())) if a is not None else set()
-            lines = _encode(text).split(b"\n")
-            at, h = _hashes(lines, min_chars)
-            out.append(_without(lines, {p for p, pair in zip(at, h.view("<i8").tolist()) if tuple(pair) in gone}))
-        return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
-
-    joined = docs.join(drop, key.eqNullSafe(F.col("__drop_id")), "left")
-    return joined.withColumn(verdict, apply(text, F.col("__g1"), F.col("__g2"))).drop("__drop_id", "__g1", "__g2")
