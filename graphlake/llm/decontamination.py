@@ -27,6 +27,10 @@ RADIUS = 24
 #: Item shingles that are broadcast at most (24 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Shingles of a bag that the 16-bit lanes of :func:`simhash` can count; larger bags
+#: are compared without a fingerprint.
+LANE_LIMIT = 32_767
+
 LANES = "1000100010001"  # hex: the lowest bit of each 16-bit lane
 
 
@@ -73,7 +77,10 @@ def blocks(fingerprint: Column, radius: int) -> Column:
 def bag_similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two bags: sum of lesser counts over sum of greater ones."""
     count = lambda bag, s: F.size(F.filter(bag, lambda x: x == s))
-    common = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
+    both = F.array_intersect(a, b)
+    once = lambda bag: F.size(F.array_distinct(bag)) == F.size(bag)
+    repeated = F.aggregate(both, F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
+    common = F.when(once(a) | once(b), F.size(both)).otherwise(repeated)
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -119,7 +126,8 @@ def contamination(
 
     marks = listed.select("n", "width", F.posexplode("bag").alias("q", "shingle")).distinct()
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    texts = keyed_texts(docs, id_col, text_col).withColumn("hashed", hashed(F.col("text")))
+    plain = keyed_texts(docs, id_col, text_col)
+    texts = plain.withColumn("hashed", hashed(F.col("text")))
 
     def hits(width: int) -> DataFrame:
         at = texts.select("doc_id", F.size("hashed").alias("size"), F.posexplode(shingle_hashes(F.col("hashed"), width)).alias("p", "shingle"))
@@ -131,7 +139,8 @@ def contamination(
     places = with_starts_between(reduce(DataFrame.union, map(hits, widths), none).distinct(), threshold)
     places = written(places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "width")).alias("places")), "places")
 
-    found = texts.join(places.withColumnRenamed("doc_id", "place_id"), F.expr("doc_id <=> place_id"))
+    # Only the documents with a place are split into words again.
+    found = plain.join(places.withColumnRenamed("doc_id", "place_id"), F.expr("doc_id <=> place_id")).withColumn("hashed", hashed(F.col("text")))
     found = found.select("doc_id", "hashed", F.explode("places").alias("w")).select("doc_id", "w.*", F.slice("hashed", F.col("w.start") + 1, F.col("w.n")).alias("part"))
     bags = found.select("doc_id", "start", "n", of_width("part").alias("bag")).where(F.size("bag") > 0)
     windows = written(bags.select("doc_id", "start", "n", "bag", simhash(F.col("bag")).alias("print")), "windows")
@@ -143,6 +152,9 @@ def contamination(
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.coalesce(*(F.when(block(apart, k, radius) == 0, F.lit(k)) for k in range(radius + 1)))
     near = mine.join(theirs, ["n", "k", "value"]).where((F.bit_count(apart) <= radius) & (F.col("k") == first)).select("doc_id", "start", "n", "item_id")
+    # Bags that the fingerprint's counters cannot hold: each place is of an item of its length.
+    long = F.size("bag") > LANE_LIMIT
+    near = near.union(windows.where(long).select("doc_id", "start", "n").join(listed.where(long).select("item_id", "n"), "n").select("doc_id", "start", "n", "item_id")).distinct()
 
     same = [F.expr("w.doc_id <=> c.doc_id"), F.expr("w.start = c.start"), F.expr("w.n = c.n")]
     pairs = near.alias("c").join(windows.alias("w"), same).join(listed.alias("i"), F.expr("c.item_id <=> i.item_id"))
@@ -152,8 +164,10 @@ def contamination(
     return kept.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item; a document is kept or
-    removed whole."""
-    dirty = contamination(docs, items, threshold).select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, F.expr("doc_id <=> dirty_id"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item. A row is told by id and
+    text, so another text of the same id is judged on its own."""
+    mark = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    own = docs.select(mark.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    dirty = contamination(own, items, threshold).select(F.col("doc_id").alias("__dirty")).distinct()
+    return docs.withColumn("__mark", mark).join(dirty, F.col("__mark") == F.col("__dirty"), "left_anti").drop("__mark")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import keyed_texts
+from graphlake.llm.common import keyed_texts, tidied
 from graphlake.llm.encoding import slices
 from graphlake.llm.toxicity import labelled_sample
 
@@ -57,7 +57,7 @@ def shape(token: str) -> str:
 class Tokens:
     """Shape and word columns of tokens, kept per worker up to ``keep`` tokens."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         self.keep, self.known = keep, {}
 
     def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ class NeighbourModel:
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(texts), BLOCK):
             cosine = self.project(texts[a : a + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, None) ** SHARPNESS
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
@@ -127,6 +127,18 @@ class NeighbourModel:
         return np.clip(out, 0, 1)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k columns of each row with the greatest similarity, to six decimals; of
+    equals the first columns, which are those of the least ids."""
+    value = np.round(cosine, 6)
+    near = np.argpartition(-value, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(value, near, axis=1).min(axis=1, keepdims=True)
+    tied = (value >= least).sum(axis=1) > k
+    for i in np.flatnonzero(tied):
+        near[i] = np.argsort(-value[i], kind="stable")[:k]
+    return near
+
+
 def weighted(shapes: np.ndarray, words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([unit(shapes), WORD_WEIGHT * unit(np.log1p(words) * idf)])
 
@@ -164,7 +176,7 @@ def score_quality(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id"
             scores = [scorer.score(texts[a:b]) for a, b in slices(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]))], ["doc_id", "score"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,12 +1,16 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features are words and word beginnings, counted by their occurrences.
-A bounded, documented sample of labelled documents selects the features that
-toxic documents use more, grades the toxic ones (1: fewer words that carry such
-features than the median toxic document, 2: as many or more) and fits one
-weight vector shared by both ordered thresholds:
-P(grade >= k) = sigmoid(w x - t_k), t_1 < t_2. The score of a document is its
-expected severity, P(grade >= 1) + P(grade >= 2).
+Features are words and word beginnings, counted by their occurrences. A
+bounded, documented sample of labelled documents selects the features that
+toxic documents use more and fits one weight vector shared by all ordered
+thresholds: P(grade >= k) = sigmoid(w x - t_k), t_1 < t_2 < ... The score of a
+document is its expected severity, the sum of these probabilities.
+
+Labels may be grades 0, 1, 2, ...; they are used as they are. Where they only
+tell toxic from clean, toxic documents are graded by how many of their words
+are toxic ones (1: fewer than the median, 2: as many or more), and a
+document's toxic words are those that the other half of the sample shows, so
+that no document's own label decides which of its words count.
 """
 
 from __future__ import annotations
@@ -19,16 +23,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import keyed_texts
+from graphlake.llm.common import keyed_texts, tidied
 
-#: Labelled documents that a model is fitted on at most, and features it keeps.
+#: Labelled documents that a model is fitted on at most, their code points together,
+#: and features it keeps.
 SAMPLE = 5000
+SAMPLE_CHARS = 64_000_000
 FEATURES = 4000
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
+#: Tokens whose features a worker remembers.
+REMEMBERED = 100_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -44,8 +52,11 @@ class OrdinalModel:
     def __post_init__(self) -> None:
         self._known: dict[str, tuple[int, ...]] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
     def _learn(self, tokens: set[str]) -> None:
-        if len(self._known) > 500_000:
+        if len(self._known) > REMEMBERED:
             self._known.clear()
         of = self.features.get
         for token in tokens.difference(self._known):
@@ -66,7 +77,7 @@ class OrdinalModel:
         return np.fromiter(counts, np.int64, len(counts)), np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
 
     def probabilities(self, text: str) -> np.ndarray:
-        """P(grade >= k) for k = 1, 2."""
+        """P(grade >= k) for k = 1, 2, ..."""
         at, value = self.row(text)
         return 1 / (1 + np.exp(-np.clip(self.weights[at] @ value - self.thresholds, -30, 30)))
 
@@ -89,88 +100,121 @@ def select(texts: list[str], toxic: np.ndarray, features: int = FEATURES, least:
     return {f: odds for _, f, odds in sorted(scored)[:features]}
 
 
-def grades(model: OrdinalModel, strong: set[int], texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """0 for documents labelled clean; toxic ones by their words with strong features."""
-    words = np.array([sum(1 for own in model.tokens(t) if not strong.isdisjoint(own)) for t in texts])
-    middle = np.median(words[toxic == 1]) if (toxic == 1).any() else 0
+def grades(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """0 for clean documents; 1 or 2 for toxic ones, by how many of their words are
+    strong signs of toxicity in the other half of the sample."""
+    fold, words = np.arange(len(texts)) % 2, np.zeros(len(texts), np.int64)
+    for f in (0, 1):
+        other = np.flatnonzero(fold != f)
+        strong = [w for w, odds in select([texts[i] for i in other], toxic[other]).items() if odds >= 2]
+        signs = OrdinalModel({w: i for i, w in enumerate(strong)}, np.zeros(0), np.zeros(0))
+        for i in np.flatnonzero((fold == f) & (toxic == 1)):
+            words[i] = len(signs.tokens(texts[i]))
+    middle = np.median(words[toxic == 1])
     return np.where(toxic == 1, 1 + (words >= max(middle, 1)), 0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, l2: float = 3e-5, rounds: int = 1500) -> OrdinalModel:
-    """Full-batch Adam on the likelihood of the grades. Without both labels the
-    model has no features and gives the base rate."""
+def thresholds(state: np.ndarray, levels: int) -> np.ndarray:
+    """t_1 and, from the logs of the gaps, the thresholds above it."""
+    return state[-levels] + np.concatenate([[0.0], np.cumsum(np.exp(state[len(state) - levels + 1 :]))])
+
+
+def loss_and_gradient(state: np.ndarray, doc: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, levels: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean -log P(grade) plus the penalty, and its derivative by the weights, the
+    first threshold and the logs of the gaps."""
+    n, w, t = len(y), state[:-levels], thresholds(state, levels)
+    s = np.bincount(doc, weights=w[at] * value, minlength=n)
+    p = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -30, 30)))
+    full = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
+    rows = np.arange(n)
+    chance = np.maximum(full[rows, y] - full[rows, y + 1], 1e-12)
+    g = np.zeros((n, levels))  # by s - t_k
+    low, high = np.flatnonzero(y > 0), np.flatnonzero(y < levels)
+    slope = p * (1 - p)
+    g[low, y[low] - 1] = -slope[low, y[low] - 1] / chance[low]
+    g[high, y[high]] += slope[high, y[high]] / chance[high]
+    g[y == 0, 0] = p[y == 0, 0]  # the same, where the quotient would lose its digits
+    g[y == levels, -1] = p[y == levels, -1] - 1
+    g /= n
+    out = np.empty_like(state)
+    out[:-levels] = np.bincount(at, weights=g.sum(axis=1)[doc] * value, minlength=len(w)) + l2 * w
+    below = -g.sum(axis=0)
+    out[-levels] = below.sum()
+    out[len(out) - levels + 1 :] = below[::-1].cumsum()[::-1][1:] * np.exp(state[len(state) - levels + 1 :])
+    return float(-np.log(chance).mean() + l2 / 2 * (w @ w)), out
+
+
+def fit(texts: list[str], labels: np.ndarray, l2: float = 3e-5, rounds: int = 600) -> OrdinalModel:
+    """Full-batch Adam on the likelihood of the grades. Where all labels are equal
+    the model has no features and gives the base rate."""
+    labels = np.asarray(labels, np.int64)
+    toxic = (labels > 0).astype(np.int64)
     chosen = select(texts, toxic) if 0 < toxic.sum() < len(toxic) else {}
-    model = OrdinalModel({f: i for i, f in enumerate(chosen)}, np.zeros(len(chosen)), np.zeros(2))
+    y = grades(texts, toxic) if chosen and labels.max() == 1 else np.maximum(labels, 0)
+    levels = max(int(y.max()) if len(y) else 0, 2)
+    model = OrdinalModel({f: i for i, f in enumerate(chosen)}, np.zeros(len(chosen)), np.arange(levels, dtype=float))
     if not chosen:
         rate = np.clip(toxic.mean() if len(toxic) else 0, 1e-3, 1 - 1e-3)
-        model.thresholds = np.log(1 - rate) - np.log(rate) + np.array([0.0, 1.0])
+        model.thresholds += np.log(1 - rate) - np.log(rate)
         return model
-    y = grades(model, {model.features[f] for f, odds in chosen.items() if odds >= 2}, texts, toxic)
     rows = [model.row(t) for t in texts]
     doc = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     at, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    state = np.zeros(len(chosen) + 2)
-    state[:-2] = 0.1
-    state[-2:] = 1.0, 0.0  # first threshold, log of the gap to the second
+    state = np.zeros(len(chosen) + levels)
+    state[: len(chosen)] = 0.1
+    state[len(chosen)] = 1.0
     m, v = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, rounds + 1):
-        w, t1, gap = state[:-2], state[-2], np.exp(state[-1])
-        s = np.bincount(doc, weights=w[at] * value, minlength=len(rows))
-        p1, p2 = (1 / (1 + np.exp(-np.clip(s - t, -30, 30))) for t in (t1, t1 + gap))
-        # Derivatives of -log P(grade) by s - t1 and s - t2.
-        d1, d2 = p1 * (1 - p1), p2 * (1 - p2)
-        middle = np.maximum(p1 - p2, 1e-9)
-        g1 = np.select([y == 0, y == 1], [p1, -d1 / middle], 0.0)
-        g2 = np.select([y == 1, y == 2], [d2 / middle, p2 - 1], 0.0)
-        by_s = (g1 + g2) / len(rows)
-        g = np.empty_like(state)
-        g[:-2] = np.bincount(at, weights=by_s[doc] * value, minlength=len(w)) + l2 * w
-        g[-2] = -by_s.sum()
-        g[-1] = -g2.sum() / len(rows) * gap
+        _, g = loss_and_gradient(state, doc, at, value, y, levels, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         state -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model.weights, model.thresholds = state[:-2].copy(), np.array([state[-2], state[-2] + np.exp(state[-1])])
-    model._known = {}
+    model.weights, model.thresholds = state[: len(chosen)].copy(), thresholds(state, levels)
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts, those of the least hashed ids; label rows
-    without an id or label are no examples, and of a repeated id the least counts."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS
+) -> tuple[list[str], np.ndarray]:
+    """At most ``rows`` labelled texts, those of the least hashed ids, of at most
+    ``chars`` code points together (shorter texts first); label rows without an id
+    or label are no examples, and of a repeated id the least text and label count."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = keyed_texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    table = found.toPandas().sort_values("doc_id")
+    # A window over the sample, which is bounded.
+    total = F.sum(F.length("text")).over(Window.orderBy(F.length("text"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    table = found.withColumn("total", total).where(F.col("total") <= chars).toPandas().sort_values("doc_id")
     return table["text"].tolist(), table["y"].to_numpy(np.int64)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, severity (0 to 2), p_toxic = P(grade >= 1),
-    toxic (1 if p_toxic >= 0.5). Null and empty texts have no feature and get the
-    model's score for none; an empty table gives no rows."""
+    """One row per input row: doc_id, severity (the expected grade), p_toxic =
+    P(grade >= 1), toxic (1 if p_toxic >= 0.5). Null and empty texts have no feature
+    and get the model's score for none; an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value
         for batch in batches:
-            p = np.array([scorer.probabilities(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+            p = np.array([scorer.probabilities(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(scorer.thresholds))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))],
                 ["doc_id", "severity", "p_toxic", "toxic"],
             )
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic int")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, severity double, p_toxic double, toxic int")
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not call toxic."""
+    """The rows of ``docs``, all columns, that the model does not call toxic; null
+    texts are judged like empty ones."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.probabilities(t or "")[0] < 0.5 for t in texts])
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(lambda own: (pd.Series([held.value.probabilities(t or "")[0] < 0.5 for t in texts], dtype=bool) for texts in own))(batches)
 
-    return docs.where(clean(F.col(text_col)))
+    return docs.where(clean(F.col(f"`{text_col}`")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:

@@ -23,29 +23,46 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     split = [(i, (t or "").split("\n")) for i, t in rows]
     holders = {}
-    for n, (i, lines) in enumerate(split):
-        for k in {key(x) for x in lines}:
-            holders.setdefault(k, []).append(i)
+    for i, lines in split:
+        for x in lines if i is not None else ():
+            holders.setdefault(key(x), set()).add(i)
     out = []
     for i, lines in split:
-        kept = []
-        for x in lines:
-            own = holders[key(x)]
-            ids = [h for h in own if h is not None]
-            if len(key(x)) < 40 or len(own) < min_docs or i == (max(ids) if ids else None):
-                kept.append(x)
+        own = [holders.get(key(x), set()) for x in lines]
+        kept = [x for x, h in zip(lines, own) if len(key(x)) < min_chars or len(h) < min_docs or i == max(h)]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
-def test_line_dedup_equals_brute_force(make_docs, broadcast_bytes):
+def check_lines(docs, rows):
+    got = dedup_lines(docs)
+    assert sorted((tuple(r) for r in got.select("doc_id", "kept", "n_lines", "n_dropped").collect()), key=str) == brute_lines(rows)
+
+
+def test_line_dedup_equals_brute_force(make_docs):
     rng = random.Random(2)
     lines = [LONG, "  " + LONG.upper() + "\r", "ÄÖÜ " * 12 + "ende", "short line", "", "x" * 40, "é" * 39, "é" * 40 + "\t", *(f"unique line number {i} with enough letters in it" for i in range(200))]
     rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 20)) if i % 9 else [LONG, LONG, "mine"])) for i in range(80)]
     rows += [(90, None), (91, ""), (92, "\n\n"), (None, LONG + "\nnull id"), (7, LONG), (7, LONG)]
-    got = dedup_lines(make_docs(rows), broadcast_bytes=broadcast_bytes)
-    assert sorted((tuple(r) for r in got.select("doc_id", "kept", "n_lines", "n_dropped").collect()), key=str) == brute_lines(rows)
+    check_lines(make_docs(rows), rows)
+
+
+def test_line_dedup_of_large_ids_repeated_ids_and_long_texts(make_docs):
+    big, other = 2**53, "Another line that is long enough to be compared at all."
+    rows = [(big + i, f"{LONG}\nown {i}") for i in range(6)] + [(None, LONG + "\nrest"), (None, LONG), (None, None)]
+    rows += [(1, f"{other}\n{i}") for i in range(5)] + [(2, other)]  # two documents, six rows
+    rows += [(3, "\n".join([LONG, *(f"line {i} of a very long text that goes on and on" for i in range(50_000)), LONG]))]
+    check_lines(make_docs(rows), rows)
+    only = [(None, LONG + f"\n{i}") for i in range(7)]
+    check_lines(make_docs(only), only)
+
+
+def test_line_dedup_splits_a_hot_line(make_docs, monkeypatch):
+    from graphlake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "PROBE_LINES", 50)
+    rows = [(i, f"{LONG}\nthis long line belongs to number {i} of all documents\n{'x' * (40 + i % 7)}") for i in range(300)]
+    check_lines(make_docs(rows), rows)
 
 
 def test_line_dedup_keeps_columns(make_docs):
@@ -108,8 +125,10 @@ def test_decontamination_equals_brute_force(spark, make_docs):
     want = brute_contamination(docs, items)
     assert len(want) > 40
     check_found(contamination(make_docs(docs), benchmark), want)
-    frame = make_docs(docs)
+    frame = make_docs(docs).selectExpr("*", "7 AS dirty_id", "8 AS similarity")
     kept = decontaminate(frame, benchmark)
+    twice = make_docs([(1, items[0][1]), (1, "clean words"), (None, items[1][1]), (None, "clean too")])
+    assert {r.text for r in decontaminate(twice, benchmark).collect()} == {"clean words", "clean too"}
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {d for d, _ in want}
     assert contamination(make_docs([]), benchmark).count() == 0
     assert contamination(make_docs(docs), benchmark.limit(0)).count() == 0
@@ -164,12 +183,46 @@ def test_toxicity_on_held_out_labels():
     both = labelled("sf0.1")
     out = both.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 0)
     model = T.fit(both[~out].text.tolist(), both[~out].toxic.to_numpy())
+    assert len(model.thresholds) == 2
     p = np.array([model.probabilities(t) for t in both[out].text])
     assert model.thresholds[0] < model.thresholds[1] and (p[:, 0] >= p[:, 1]).all()
     said, true = p[:, 0] >= 0.5, both[out].toxic.to_numpy() == 1
     assert (said & ~true).sum() <= 0.01 * (~true).sum() and (said & true).sum() >= 0.88 * true.sum()
 
 
+def test_ordinal_gradient_and_likelihood():
+    rng = np.random.default_rng(1)
+    n, features, levels = 30, 6, 3
+    doc, at = np.repeat(np.arange(n), 3), rng.integers(0, features, 3 * n)
+    value, y = rng.random(3 * n), rng.integers(0, levels + 1, n)
+    state = rng.normal(size=features + levels)
+    loss, g = T.loss_and_gradient(state, doc, at, value, y, levels, 0.01)
+    t = T.thresholds(state, levels)
+    assert (np.diff(t) > 0).all()
+    chance = []
+    for i in range(n):
+        s = sum(state[a] * v for d, a, v in zip(doc, at, value) if d == i)
+        p = [1.0, *(1 / (1 + np.exp(-(s - x))) for x in t), 0.0]
+        chance.append(p[y[i]] - p[y[i] + 1])
+    assert np.isclose(loss, -np.mean(np.log(chance)) + 0.005 * (state[:features] ** 2).sum())
+    for k in range(len(state)):
+        step = np.zeros_like(state)
+        step[k] = 1e-5
+        near = [T.loss_and_gradient(state + d, doc, at, value, y, levels, 0.01)[0] for d in (step, -step)]
+        assert np.isclose(g[k], (near[0] - near[1]) / 2e-5, atol=1e-6)
+
+
+def test_given_grades_are_used_as_they_are():
+    rng = random.Random(6)
+    signs = ["calm", "rude", "nasty", "vile"]
+    grades = [i % 4 for i in range(400)]
+    texts = [" ".join(rng.choice(["tree", "house", "walk", "river"]) for _ in range(20)) + f" {signs[g]}" * (g > 0) for g in grades]
+    model = T.fit(texts, np.array(grades))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    severity = [model.probabilities(f"tree {s}").sum() for s in signs]
+    assert severity == sorted(severity) and abs(severity[3] - 3) < 0.3 and severity[0] < 0.2
+
+
 def test_toxicity_of_odd_rows(spark, make_docs):
     docs = make_docs([(i, "you stupid clown, what trash" if i % 3 == 0 else f"a calm text number {i}") for i in range(60)] + [(100, None), (101, ""), (None, "stupid trash clown"), (0, "stupid clown trash")])
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(50)] + [(51, 1, None), (None, 1, 1), (0, 0, 1)], "doc_id long, quality int, toxic int")
@@ -190,6 +243,23 @@ def test_quality_on_held_out_labels():
     assert ((score >= 0.3) == (true == 1)).mean() >= 0.97 and 0 <= score.min() and score.max() <= 1
 
 
+def test_votes_equal_brute_force():
+    """Every document against every labelled vector, one by one, ties included."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["Good", "calm", "words", "BAD!!", "x9", "junk##", "the", "a"]) for _ in range(rng.randint(1, 12)))
+    sample = [text() for _ in range(60)] + ["the same text"] * 20
+    labels = np.array([rng.randint(0, 1) for _ in sample])
+    model = Q.fit(sample, labels)
+    asked = [text() for _ in range(40)] + ["the same text", "", "  "]
+    vectors = model.project(asked)
+    for t, own, score in zip(asked, vectors, model.score(asked)):
+        near = [(round(float(np.float32(own @ v)), 6), -i, y) for i, (v, y) in enumerate(zip(model.vectors, model.labels))]
+        best = sorted(near, reverse=True)[: Q.NEIGHBOURS]
+        total = sum(max(c, 0) ** Q.SHARPNESS for c, _, _ in best)
+        want = sum(max(c, 0) ** Q.SHARPNESS * y for c, _, y in best) / total if total else labels.mean()
+        assert abs(score - want) < 1e-3 or sorted(near, reverse=True)[Q.NEIGHBOURS - 1][0] - sorted(near, reverse=True)[Q.NEIGHBOURS][0] < 2e-6 and near.count(best[-1]) == 1, t
+
+
 def test_quality_never_learns_from_the_held_out_fifth(spark, make_docs):
     rows = [(i, "GOOD Words Here" if i % 2 else "bad!! bad!! bad!!") for i in range(100)] + [(200, None), (None, "bad!! bad!!")]
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0]
