@@ -35,7 +35,7 @@ class WordEncoder:
     younger is full.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,14 +113,14 @@ class WordEncoder:
         return []
 
 
-def encoder(path: str, keep: int = 400_000) -> WordEncoder:
+def encoder(path: str, keep: int = 200_000) -> WordEncoder:
     """One encoder per worker process and vocabulary, kept between tasks."""
     if (path, keep) not in _encoders:
         _encoders[path, keep] = WordEncoder(path, keep)
     return _encoders[path, keep]
 
 
-def slices(texts: list[str], chars: int = 8_000_000):
+def slices(texts: list[str], chars: int = 4_000_000):
     """(from, to) of runs of texts of about ``chars`` characters, so that long
     texts do not meet in one call."""
     start = size = 0

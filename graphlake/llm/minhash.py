@@ -8,22 +8,30 @@ one prefix sum of bytes times powers gives the hash of every substring.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of text whose powers a worker keeps; those of longer texts are made anew.
+KEPT_POWERS = 1 << 18
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+    made = _powers(KEPT_POWERS) if n <= KEPT_POWERS else _powers.__wrapped__(n)
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import keyed_texts, written
+from graphlake.llm.common import keyed_texts, tidied, written
 from graphlake.llm.encoding import encoder, slices
 
 PIECE_SCHEMA = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -131,7 +131,7 @@ def pack_documents(
                     ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    cuts = written(keyed_texts(docs, id_col, text_col).mapInArrow(pieces, PIECE_SCHEMA), "pieces")
+    cuts = written(keyed_texts(docs, id_col, text_col).mapInArrow(tidied(pieces), PIECE_SCHEMA), "pieces")
     groups = max(1, -(-cuts.count() // group_pieces))
 
     def windows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import keyed_texts, partitions, shared_path
+from graphlake.llm.common import keyed_texts, partitions, shared_path, tidied
 from graphlake.llm.encoding import encoder, slices
 
 BLOCK_SCHEMA = (
@@ -129,7 +129,7 @@ def write_tokens(
         keyed_texts(docs, id_col, text_col)
         .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, BLOCK_SCHEMA)
+        .mapInArrow(tidied(encode), BLOCK_SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)
     )
