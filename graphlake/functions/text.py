@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as an identifier, and its least length.
@@ -15,19 +14,22 @@ IDENTIFIERS = [
     (r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b", 6),
     (r"\b0x[0-9A-Fa-f]{2,}\b", 4),
 ]
-HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
-MIN_CHARS, MAX_CHARS = 800, 4000
 
 
 def identifiers(text: Column, cap: int = 64) -> Column:
-    """Distinct identifiers of a text: the first ``cap`` by position, then sorted."""
+    """Distinct identifiers of a text: the first ``cap`` by where they match, then
+    sorted. An Arrow function, since Spark's own do not tell where a match stands."""
+    patterns = [(re.compile(p), least) for p, least in IDENTIFIERS]
 
-    def of(pattern: str, least: int) -> Column:
-        return F.filter(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda x: F.length(x) >= least)
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            placed = sorted((m.start(), m[0]) for p, least in patterns for m in p.finditer(t or "") if len(m[0]) >= least)
+            out.append(sorted(list(dict.fromkeys(x for _, x in placed))[:cap]))
+        return pd.Series(out)
 
-    every = F.array_distinct(F.concat(*(of(p, n) for p, n in IDENTIFIERS)))
-    placed = F.array_sort(F.transform(every, lambda x: F.struct(F.call_function("instr", text, x).alias("at"), x.alias("x"))))
-    return F.array_sort(F.transform(F.slice(placed, 1, cap), lambda s: s["x"]))
+    return found(text)
 
 
 def content_hash(text: Column) -> Column:
@@ -65,58 +67,17 @@ def literal(value: Column, kind: str) -> Column:
     return value if spark_type == "string" else value.try_cast(spark_type)
 
 
-def _split_long(text: str, high: int) -> list[str]:
-    """Parts of at most ``high`` characters: whole paragraphs while they fit, then
-    cut at the last white space, then anywhere."""
-    out, room = [], ""
-    for paragraph in text.split("\n\n"):
-        while len(paragraph) > high:
-            cut = paragraph.rfind(" ", 1, high + 1)
-            cut = cut if cut > 0 else high
-            if room:
-                out.append(room)
-                room = ""
-            out.append(paragraph[:cut].rstrip())
-            paragraph = paragraph[cut:].lstrip()
-        joined = f"{room}\n\n{paragraph}" if room else paragraph
-        if len(joined) <= high:
-            room = joined
-        else:
-            out.append(room)
-            room = paragraph
-    return out + [room] if room else out
-
-
-def split_markdown(text: str, low: int = MIN_CHARS, high: int = MAX_CHARS) -> list[tuple[str, str]]:
-    """(heading path, chunk): paragraphs under each heading, short chunks joined to
-    the one before under the first path, long ones split."""
-    path: list[tuple[int, str]] = []
-    sections: list[tuple[str, list[str]]] = [("", [])]
-    for line in text.split("\n"):
-        if m := HEADING.match(line):
-            depth = len(m[1])
-            path = [p for p in path if p[0] < depth] + [(depth, m[2].strip())]
-            sections.append((" > ".join(p[1] for p in path), []))
-        else:
-            sections[-1][1].append(line)
-    chunks: list[list[str]] = []
-    for head, lines in sections:
-        body = re.sub(r"\n{2,}", "\n\n", "\n".join(lines)).strip()
-        if not body:
-            continue
-        if chunks and (len(chunks[-1][1]) < low or len(body) < low) and len(chunks[-1][1]) + 2 + len(body) <= high:
-            chunks[-1][1] += "\n\n" + body
-        else:
-            chunks.append([head, body])
-    return [(head, part) for head, body in chunks for part in _split_long(body, high)]
-
-
-def chunk(docs: DataFrame, low: int = MIN_CHARS, high: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_no, heading, text); empty texts have no chunk."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, h, t) for d, text in zip(f["doc_id"], f["text"]) for i, (h, t) in enumerate(split_markdown(text or "", low, high))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "heading", "text"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, chunk_no int, heading string, text string")
+def to_stamp(moment: Column) -> Column:
+    """Whole seconds since 1970, as elements keep their creation; null below 0."""
+    seconds = F.unix_seconds(moment.cast("timestamp"))
+    return F.when(seconds >= 0, seconds)
+
+
+def from_stamp(stamp: Column) -> Column:
+    return F.timestamp_seconds(stamp)
+
+
+def modification_delta(created: Column, modified: Column) -> Column:
+    """Seconds from an element's creation stamp to its modification; null if before it."""
+    delta = to_stamp(modified) - created
+    return F.when(delta >= 0, delta)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.operators.indices import lexical_pattern
+from graphlake.operators.vectors import literal, similarity
+
 RRF = 60
 
 
@@ -99,6 +102,59 @@ def depth_for(k: int) -> int:
     return min(max(50, 4 * k), 1024)
 
 
+def _ranked(hits: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, chunk_no, score, rank) of the best ``depth`` by score."""
+    order = [F.desc("score"), F.col("doc_id"), F.col("chunk_no")]
+    return hits.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def search(chunks: DataFrame, text: str = "", vector: list[float] | None = None, mode: str = "fused", k: int = 10, where: Column | None = None) -> tuple[DataFrame, str]:
+    """((doc_id, chunk_no, score), mode used) of the ``k`` best chunks.
+
+    ``chunks`` is (doc_id, chunk_no, text, vector). 'lexical' counts the query's
+    terms in the text, 'dense' takes the cosine, 'fused' sums reciprocal ranks of
+    both. Where one side has nothing to search by (no text; no query vector, or no
+    chunk with one) the other is used alone, and is named; with neither, no rows.
+    """
+    if not 1 <= k <= 100:
+        raise ValueError("k must be 1 to 100")
+    if mode not in ("fused", "dense", "lexical"):
+        raise ValueError("mode must be fused, dense or lexical")
+    found = chunks if where is None else chunks.where(where)
+    has_text = bool(text.strip())
+    has_vector = bool(vector) and any(vector) and found.where("vector is not null").limit(1).count() > 0
+    used = mode if has_text and has_vector else "lexical" if has_text else "dense" if has_vector else "none"
+    depth, sides = depth_for(k), []
+    if used in ("lexical", "fused"):
+        pattern = F.lit(f"(?i){lexical_pattern(text)}")
+        sides.append(_ranked(found.select("doc_id", "chunk_no", F.regexp_count("text", pattern).cast("double").alias("score")).where("score > 0"), depth))
+    if used in ("dense", "fused"):
+        scored = found.select("doc_id", "chunk_no", similarity(F.col("vector"), literal(vector), "cosine").alias("score"))
+        sides.append(_ranked(scored.where("score is not null and not isnan(score)"), depth))
+    if not sides:
+        return found.select("doc_id", "chunk_no", F.lit(0.0).alias("score")).limit(0), used
+    if used != "fused":
+        return sides[0].where(F.col("rank") <= k).drop("rank"), used
+    both = sides[0].unionByName(sides[1]).groupBy("doc_id", "chunk_no").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score"))
+    return both.orderBy(F.desc("score"), "doc_id", "chunk_no").limit(k), used
+
+
+def document_list(docs: DataFrame, chunks: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, preview, n_chunks, stale): 240 characters of the text, and whether a
+    chunk lacks a vector or has one of another model. ``chunks`` has doc_id, vector
+    and model."""
+    stale = F.col("vector").isNull() | ~F.col("model").eqNullSafe(F.lit(model))
+    counted = chunks.groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("n_chunks"), F.max(stale).alias("stale"))
+    joined = docs.join(counted, F.col("doc_id") == F.col("__d"), "left")
+    return joined.select("doc_id", F.substring("text", 1, 240).alias("preview"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+def delete_documents(docs: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs, chunks) without the documents of ``ids`` (doc_id) and their chunks."""
+    gone = ids.select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti"), chunks.join(gone, "doc_id", "left_anti")
+
+
 def group_by_document(hits: DataFrame) -> DataFrame:
     """(doc_id, score, n_chunks): a document scores as its best chunk."""
     return hits.groupBy("doc_id").agg(F.max("score").alias("score"), F.count("*").alias("n_chunks"))

@@ -24,7 +24,7 @@ def backfill_prefix(bag: DataFrame, prefix: str) -> DataFrame:
 
 def lookup(index: DataFrame, op: str, literal) -> DataFrame:
     """Distinct element ids whose key compares."""
-    return index.where(compare(F.col("key"), op, literal)).select("element_id").distinct()
+    return index.where(compare(F.col("key"), op, literal, index.schema["key"].dataType)).select("element_id").distinct()
 
 
 def last_wins(writes: DataFrame, key: str, value: str, seq: str) -> DataFrame:

@@ -3,6 +3,9 @@ otherwise; only the frontier's edges are touched in a level."""
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +13,31 @@ from pyspark.sql.window import Window
 from graphlake.graph import Graph, walkable
 from graphlake.sources.workspace import materialised
 
+
+
+class BudgetExceeded(RuntimeError):
+    """A search ran out of its budget; there is no partial result."""
+
+
+@dataclass
+class Budget:
+    """Rows that a search may expand in all, and seconds it may take; it is checked
+    after every level."""
+
+    rows: int | None = None
+    seconds: float | None = None
+    _began: float = field(default_factory=time.monotonic)
+    _spent: int = 0
+
+    def spend(self, level: DataFrame) -> None:
+        if self.rows is not None:
+            self._spent += level.count()
+            if self._spent > self.rows:
+                raise BudgetExceeded(f"more than {self.rows} rows")
+        if self.seconds is not None and time.monotonic() - self._began > self.seconds:
+            raise BudgetExceeded(f"more than {self.seconds} seconds")
+
+
 STEP = "struct<edge_id:bigint,edge_type:string,direction:string,src:bigint,dst:bigint,weight:double>"
 
 
@@ -26,7 +54,7 @@ def _steps(graph: Graph, direction: str, edge_filter: Column | None, vertex_filt
     return steps.select("near", "far", "edge_id", "edge_type", "direction", F.greatest("__w", F.lit(0.0)).alias("weight"))
 
 
-def reach(graph: Graph, source: int, max_depth: int, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, until: int | None = None) -> DataFrame:
+def reach(graph: Graph, source: int, max_depth: int, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, until: int | None = None, budget: Budget | None = None) -> DataFrame:
     """(id, depth) of the vertices within ``max_depth`` hops, the source at 0; with
     ``until`` the search ends at the level that holds it."""
     spark = graph.vertices.sparkSession
@@ -36,6 +64,8 @@ def reach(graph: Graph, source: int, max_depth: int, direction: str = "both", ed
     for depth in range(1, max_depth + 1):
         found = steps.join(frontier.select(F.col("id").alias("near")), "near").select(F.col("far").alias("id")).distinct()
         frontier = materialised(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if budget:
+            budget.spend(frontier)
         if not frontier.limit(1).count():
             break
         seen = seen.unionAll(frontier)
@@ -57,35 +87,67 @@ def _signature(steps: Column) -> Column:
     return F.array_join(F.transform(steps, lambda s: F.concat(s["edge_id"].cast("string"), F.lit(":"), s["direction"])), ",")
 
 
-def fewest_hops(graph: Graph, source: int, target: int, max_depth: int = 7, max_results: int = 65_535, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None) -> DataFrame:
+BACK = {"both": "both", "out": "in", "in": "out"}
+
+
+def meeting(graph: Graph, source: int, target: int, max_depth: int = 7, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None) -> tuple[list[DataFrame], list[DataFrame]] | None:
+    """Search from both ends, a level at a time from the end whose frontier is
+    smaller, until a vertex is on both: the levels (id) from the source and those
+    from the target, whose last ones meet; None if they do not within the depth."""
+    spark = graph.vertices.sparkSession
+    one = lambda x: spark.createDataFrame([(x,)], "id long")
+    levels, sizes = ([one(source)], [one(target)]), [1, 1]
+    seen = [one(source), one(target)]
+    # The ends are exempt from the filter; it is that of the vertex a step arrives at.
+    passing = None if vertex_filter is None else (vertex_filter | F.col("id").isin(source, target))
+    steps = [_steps(graph, d, edge_filter, passing).select("near", "far") for d in (direction, BACK[direction])]
+    for _ in range(max_depth):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        found = steps[side].join(levels[side][-1].select(F.col("id").alias("near")), "near").select(F.col("far").alias("id")).distinct()
+        level = materialised(found.join(seen[side], "id", "left_anti"))
+        if budget:
+            budget.spend(level)
+        sizes[side] = level.count()
+        if not sizes[side]:
+            return None
+        levels[side].append(level)
+        seen[side] = seen[side].unionAll(level)
+        if level.join(levels[1 - side][-1], "id", "left_semi").limit(1).count():
+            return levels
+    return None
+
+
+def fewest_hops(graph: Graph, source: int, target: int, max_depth: int = 7, max_results: int = 65_535, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None) -> DataFrame:
     """All paths of the fewest hops, one per choice of parallel edges, by signature
     (hops, weight 0, signature, steps). None if an end is missing, they are the
-    same, or the depth does not reach. The target is exempt from the vertex filter.
+    same, or the depth does not reach. The ends are exempt from the vertex filter.
 
-    Levels run from the source until the target is met; the paths are then walked
-    back through the levels, so only vertices that lie on one are expanded.
+    The search runs from both ends until they meet; the paths are then walked back
+    through the levels, and only vertices on both sides' levels join the halves.
     """
     spark = graph.vertices.sparkSession
     ends = graph.vertices.where(F.col("id").isin(source, target)).select("id").distinct().count()
     if source == target or max_depth < 1 or max_results < 1 or ends < 2:
         return _empty(spark)
-    passing = None if vertex_filter is None else (vertex_filter | (F.col("id") == target))
-    level = materialised(reach(graph, source, max_depth, direction, edge_filter, passing, until=target))
-    hit = level.where(F.col("id") == target).first()
-    if hit is None:
+    met = meeting(graph, source, target, max_depth, direction, edge_filter, vertex_filter, budget)
+    if met is None:
         return _empty(spark)
+    ahead, behind = met
+    levels = ahead[:-1] + [ahead[-1].join(behind[-1], "id", "left_semi")] + behind[-2::-1]
+    passing = None if vertex_filter is None else (vertex_filter | F.col("id").isin(source, target))
     steps = _steps(graph, direction, edge_filter, passing)
     paths = spark.createDataFrame([(target,)], "at long").withColumn("steps", F.array().cast(f"array<{STEP}>"))
-    for depth in range(hit["depth"], 0, -1):
-        before = level.where(F.col("depth") == depth - 1).select(F.col("id").alias("near"))
-        last = steps.join(before, "near", "left_semi").withColumn("weight", F.lit(0.0))
+    for before in levels[-2::-1]:
+        last = steps.join(before.select(F.col("id").alias("near")), "near", "left_semi").withColumn("weight", F.lit(0.0))
         paths = paths.join(last, F.col("at") == F.col("far")).select(F.col("near").alias("at"), F.concat(F.array(_step()), "steps").alias("steps"))
         paths = materialised(paths)
+        if budget:
+            budget.spend(paths)
     out = paths.select(F.size("steps").alias("hops"), F.lit(0.0).alias("weight"), _signature(F.col("steps")).alias("signature"), "steps")
     return out.orderBy("signature").limit(max_results)
 
 
-def cheapest(graph: Graph, source: int, max_depth: int = 7, edge_cost: Column | None = None, vertex_cost: Column | None = None, max_weight: float = float("inf"), direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None) -> DataFrame:
+def cheapest(graph: Graph, source: int, max_depth: int = 7, edge_cost: Column | None = None, vertex_cost: Column | None = None, max_weight: float = float("inf"), direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None) -> DataFrame:
     """(id, hops, weight): least weight from the source to every vertex with at
     most ``max_depth`` hops, and the fewest hops at that weight.
 
@@ -103,25 +165,28 @@ def cheapest(graph: Graph, source: int, max_depth: int = 7, edge_cost: Column |
         known = best.select("id", F.col("weight").alias("old"))
         frontier = found.join(known, "id", "left").where("old is null or weight < old").select("id", F.lit(depth).alias("hops"), "weight")
         frontier = materialised(frontier)
+        if budget:
+            budget.spend(frontier)
         if not frontier.limit(1).count():
             break
         best = materialised(best.unionAll(frontier).groupBy("id").agg(F.min(F.struct("weight", "hops")).alias("b")).select("id", "b.hops", "b.weight"))
     return best
 
 
-def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None) -> DataFrame:
+def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None) -> DataFrame:
     """Every loop-free path of at most ``max_depth`` hops. Partial paths that the
     target cannot be reached from in the hops left are cut off at once."""
     spark = graph.vertices.sparkSession
     steps = _steps(graph, direction, edge_filter, vertex_filter, edge_cost, vertex_cost)
-    back = {"both": "both", "out": "in", "in": "out"}[direction]
-    togo = materialised(reach(graph, target, max_depth - 1, back, edge_filter)).select(F.col("id").alias("far"), F.col("depth").alias("togo"))
+    togo = materialised(reach(graph, target, max_depth - 1, BACK[direction], edge_filter, budget=budget)).select(F.col("id").alias("far"), F.col("depth").alias("togo"))
     paths = spark.createDataFrame([(source, [source], 0.0)], "at long, visited array<long>, so_far double").withColumn("steps", F.array().cast(f"array<{STEP}>"))
     done = None
     for depth in range(1, max_depth + 1):
         on = paths.join(steps, F.col("at") == F.col("near")).where(~F.array_contains("visited", F.col("far")))
         on = on.join(togo, "far").where(F.col("togo") <= max_depth - depth).withColumn("total", F.col("so_far") + F.col("weight")).where(F.col("total") <= max_weight)
         on = materialised(on.select(F.col("far").alias("at"), F.concat("visited", F.array("far")).alias("visited"), F.col("total").alias("so_far"), F.concat("steps", F.array(_step())).alias("steps")))
+        if budget:
+            budget.spend(on)
         arrived = on.where(F.col("at") == target)
         done = arrived if done is None else done.unionAll(arrived)
         paths = on.where(F.col("at") != target)

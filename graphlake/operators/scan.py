@@ -3,6 +3,8 @@ predicates and column pruning reach the files)."""
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,32 @@ COMPARE = {
 RESERVED = "$embedding"
 
 
-def compare(column: Column, op: str, literal) -> Column:
-    """The comparison; an absent (null) property matches none, 'ne' included."""
+def _family(kind: T.DataType) -> str:
+    if isinstance(kind, T.NumericType):
+        return "number"
+    if isinstance(kind, T.StringType | T.CharType | T.VarcharType):
+        return "text"
+    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        return "time"
+    return kind.typeName()
+
+
+def _family_of(literal) -> str:
+    if isinstance(literal, bool):
+        return "boolean"
+    if isinstance(literal, int | float | Decimal):
+        return "number"
+    if isinstance(literal, str):
+        return "text"
+    return "time" if isinstance(literal, date) else type(literal).__name__
+
+
+def compare(column: Column, op: str, literal, kind: T.DataType | None = None) -> Column:
+    """The comparison; an absent (null) property matches none, 'ne' included. With
+    the column's type, a literal of another family (text, number, time, truth) is
+    equal to no value and stands in no order with one: only 'ne' matches."""
+    if kind is not None and _family(kind) != _family_of(literal):
+        return column.isNotNull() if op == "ne" else F.lit(False)
     return COMPARE[op](column, F.lit(literal))
 
 
@@ -38,7 +64,7 @@ def by_label(elements: DataFrame, label: str | None) -> DataFrame:
 def property_scan(graph: Graph, key: str, op: str, literal, label: str | None = None, kind: str = "both") -> DataFrame:
     """Elements whose property compares; a key nobody has matches nothing."""
     found = by_label(of_kind(graph, kind), label)
-    return found.where(compare(F.col(key), op, literal)) if key in found.columns else found.limit(0)
+    return found.where(compare(F.col(f"`{key}`"), op, literal, found.schema[key].dataType)) if key in found.columns else found.limit(0)
 
 
 def any_property_scan(graph: Graph, term: str, label: str | None = None, kind: str = "both", strings_only: bool = False) -> DataFrame:
@@ -68,6 +94,24 @@ def sample(graph: Graph, max_elements: int = 1000) -> tuple[DataFrame, DataFrame
     return graph.vertices.orderBy("id").limit(max_elements), graph.edges.orderBy("id").limit(max_elements)
 
 
+def stride_sample(elements: DataFrame, budget: int) -> DataFrame:
+    """Every k-th element in id order, with the least k that gives ``budget`` rows or
+    fewer; all where they fit. (A statistic over a sample; exact ones need none.)"""
+    if budget < 1:
+        raise ValueError("a budget is 1 or more")
+    total = elements.count()
+    if total <= budget:
+        return elements
+    from graphlake.operators.mutate import dense_ids
+
+    return dense_ids(elements, into="__n").where(F.col("__n") % -(-total // budget) == 0).drop("__n")
+
+
+def members(partitions: DataFrame, partition: int, column: str = "component", limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the ids in one partition of an analytics result, in id order."""
+    return page(partitions.where(F.col(column) == partition).select("id"), ["id"], limit, offset)
+
+
 def page(df: DataFrame, order: list, limit: int = 100, offset: int = 0) -> DataFrame:
     if not 1 <= limit <= 10_000:
         raise ValueError("limit must be 1 to 10000")

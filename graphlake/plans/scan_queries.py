@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from graphlake.operators import aggregates, scan
@@ -202,3 +204,23 @@ def edge_sweep(spark, sf_dir):
 def edge_types_in(spark, sf_dir):
     return scan.edge_types(commerce(spark, sf_dir), ID["part"] + 7, "in")
 
+
+
+@query("SELECT 'ne' AS op, p_partkey AS key FROM part")
+def scan_other_type(spark, sf_dir):
+    """A number against a text property: equal to none, in no order, unequal to all."""
+    g = commerce(spark, sf_dir)
+    found = [scan.property_scan(g, "p_name", op, 25, kind="vertex").select(F.lit(op).alias("op"), (F.col("id") - ID["part"]).alias("key")) for op in scan.COMPARE]
+    return reduce(lambda a, b: a.unionAll(b), found)
+
+
+@query("""SELECT id FROM (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i, ceil(count(*) OVER () / 40) AS k FROM customer) WHERE i % k = 0""")
+def stride_sample(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return scan.stride_sample(c, 40)
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 10 OFFSET 2")
+def partition_members(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    return scan.members(c, 3, "community", limit=10, offset=2)

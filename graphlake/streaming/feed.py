@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Event kinds and reasons to read anew.
 KINDS = {"VertexCreated": 1, "VertexRemoved": 2, "EdgeCreated": 4, "EdgeRemoved": 8, "PropertySet": 16, "PropertyRemoved": 32, "Resync": 64}
 REASONS = ("trim", "tabulaRasa", "load", "delegateWrite", "overflow", "seekOutOfRange")
+#: Sequence numbers that one task looks at together.
+GAP_RUN = 100_000
 SCHEMA = "epoch string, seq long, ts timestamp, kind string, element string, id long, label string, edge_type string, key string, value string"
 
 
@@ -39,8 +41,15 @@ def gaps(events: DataFrame) -> DataFrame:
     has to read anew (batch; numbers start at 1 in each epoch)."""
     from pyspark.sql.window import Window
 
-    before = F.coalesce(F.lag("seq").over(Window.partitionBy("epoch").orderBy("seq")), F.lit(0))
-    return events.select("epoch", (before + 1).alias("expected"), F.col("seq").alias("found")).where("found > expected")
+    # Runs of numbers are looked at on their own; only their ends meet, one row a run.
+    run = F.floor(F.col("seq") / GAP_RUN)
+    inside = F.lag("seq").over(Window.partitionBy("epoch", "run").orderBy("seq"))
+    rows = events.select("epoch", "seq", run.alias("run")).withColumn("before", inside)
+    ends = events.groupBy("epoch", run.alias("run")).agg(F.max("seq").alias("last"))
+    prior = F.coalesce(F.lag("last").over(Window.partitionBy("epoch").orderBy("run")), F.lit(0))
+    firsts = ends.withColumn("prior", prior).select("epoch", "run", "prior")
+    told = rows.join(firsts, ["epoch", "run"]).withColumn("expected", F.coalesce("before", "prior") + 1)
+    return told.select("epoch", "expected", F.col("seq").alias("found")).where("found > expected")
 
 
 def last_values(events: DataFrame) -> DataFrame:
