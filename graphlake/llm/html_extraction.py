@@ -153,7 +153,8 @@ NAMES = {
     "advert": "ad ads advert advertisement adsense ad-slot sponsor sponsored promo promotion banner-ad commercial",
     "form": "form search search-form newsletter signup subscribe login contact-form subscription",
     "comments": "comments comment-list comment reply discussion responses disqus respond reader-comments feedback",
-    "share": "share social share-buttons social-links byline meta post-meta author-box tools print-links",
+    "share": "share social share-buttons social-links tools print-links",
+    "byline": "byline author author-box author-bio meta post-meta entry-meta dateline published",
     "article": "article content main-content post post-content entry entry-content story story-body article-body text body-text page-content",
 }
 SEMANTIC = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}
@@ -214,8 +215,16 @@ def labelled_pages(count: int, seed: int = 4) -> list[str]:
         body = inner(kind)
         return f'<{"div" if tag == "ul" else tag}{attr} data-keep="0">{body}</{"div" if tag == "ul" else tag}>'
 
+    def byline() -> str:
+        """Who wrote it and when: short, often linked, and part of the article."""
+        tag = pick(["p", "div", "span", "address", "section"])
+        said = pick([f"By {words(2)}", f'By <a href="/a">{words(2)}</a>', f"{words(2)}, {rng.integers(1, 29)} May 20{rng.integers(10, 30)}", f"<p>{sentence(2, 12)}</p>"])
+        return f'<{tag} class="{pick(names["byline"])}">{said}</{tag}>'
+
     def article() -> str:
         out = [f"<h1>{sentence(2, 14)}</h1>"] if rng.random() < 0.8 else []
+        if rng.random() < 0.4:
+            out.append(byline())
         for _ in range(rng.integers(1, 12)):
             kind = rng.random()
             if kind < 0.72:
@@ -228,8 +237,10 @@ def labelled_pages(count: int, seed: int = 4) -> list[str]:
                 out.append(f"<blockquote><p>{prose()}</p></blockquote>")
             elif kind < 0.93:
                 out.append(f"<table><tr><td>{words(2)}</td><td>{words(1)}</td></tr></table>")
-            elif kind < 0.96:
+            elif kind < 0.95:
                 out.append(f"<div>{prose()}</div>")
+            elif kind < 0.97:
+                out.append(byline())
             else:
                 out.append(box(pick(["advert", "share", "sidebar", "form", "notice"])))
         body = "".join(out)
@@ -261,7 +272,9 @@ def labels_of(tree: Tree) -> list[int]:
     return out
 
 
+@functools.lru_cache(2)
 def train(pages: int = TRAINING_PAGES, seed: int = 4) -> TreeModel:
+    """The model of the generated pages, which never change: one fit per process."""
     trees = [parse(p) for p in labelled_pages(pages, seed)]
     return fit(trees, [labels_of(t) for t in trees])
 

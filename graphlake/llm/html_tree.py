@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 
 # Element names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template noscript head title svg iframe select option textarea datalist".split())
+HIDDEN = set("script style template noscript head title desc metadata iframe select option textarea datalist".split())
 #: What may stand in a head; anything else ends one that is open.
 HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = set(

@@ -59,6 +59,29 @@ def test_article_without_its_surroundings(model):
     assert model.texts([html])[0] == "Café & Bar\nFirst paragraph, over two lines.\nSecond one with a link in it.\nThird paragraph closes the article."
 
 
+def test_formulae_drawings_and_bylines_are_of_the_article(model):
+    html = """<html><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><article><h1>A heading</h1>
+    <p class="byline">By Ann Author</p><p>Then <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is a formula in this sentence.</p>
+    <p>The drawing <svg><title>no</title><text>says this</text></svg> in a sentence.</p><p>One more paragraph ends the article.</p>
+    <div class="author-box"><p>Ann Author writes about many things.</p></div></article>
+    <div class="share"><a href="/s">Share</a></div><footer>Copyright of the site.</footer></body></html>"""
+    want = ["A heading", "By Ann Author", "Then E=m is a formula in this sentence.", "The drawing says this in a sentence.", "One more paragraph ends the article.", "Ann Author writes about many things."]
+    assert model.texts([html])[0].split("\n") == want
+
+
+def test_registered_extraction(spark, model):
+    """The query on whole pages: the article's blocks, nothing of what stands around."""
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet").set_index("page_id")
+    got = entry.queries()["op4_html_extraction"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        tree = parse(pages.html[r.page_id])
+        inside = [False] * len(tree.tag)
+        for i in range(1, len(inside)):
+            inside[i] = inside[tree.parent[i]] or tree.tag[i] == "article"
+        assert r.text == "\n".join(t for t, tag, y in zip(tree.text, tree.tag, inside) if tag == "#" and y) and r.n_chars == len(r.text)
+
+
 def test_extraction_of_odd_rows(spark, model):
     pages = [(1, "u", None), (2, None, ""), (None, "u", "<p>One sentence stands here."), (4, "u", "<article><p>A sentence that is cut off in a <b"), (5, "u", "<p>" + "word " * 200_000), (5, "u", "no markup at all, only one sentence."), (6, "u", "<div>" * 3000 + "deep words stand here." + "</div>" * 3000)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
