@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from graphlake.operators.indices import lexical_pattern
 from graphlake.operators.vectors import literal, similarity
+from graphlake.sources.workspace import stored
 
 RRF = 60
+BROADCAST_KEYS = 500_000
 
 
 def chunk_links(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,32 +34,22 @@ def token_windows(words: Column, width: int) -> Column:
     return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
 
 
-def mentions(docs: DataFrame, targets: DataFrame, width: int = 8, cap: int = 16) -> DataFrame:
-    """(doc_id, item_id): targets whose first ``width`` words stand in the document;
-    of more than ``cap`` the least ids (a limit of the feature)."""
-    start = F.slice(words_of(F.col("text")), 1, width)
-    keys = targets.select("item_id", start.alias("start")).where(F.size("start") == width).select("item_id", F.array_join("start", " ").alias("key"))
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    held = words.select("doc_id", F.explode(F.array_distinct(token_windows(F.col("words"), width))).alias("key"))
-    found = held.join(keys, "key").select("doc_id", "item_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))
-    return found.withColumn("__r", rank).where(F.col("__r") <= cap).drop("__r")
-
-
 def passages(docs: DataFrame, targets: DataFrame, width: int = 8, cap: int | None = None) -> DataFrame:
     """(doc_id, item_id): targets of which any run of ``width`` words, or the whole
     where they are shorter, stands in the document; of more than ``cap``, if given,
-    the least ids."""
+    the least ids. Up to ``BROADCAST_KEYS`` runs of the targets are sent to every
+    executor, and no run of a document is shuffled; more are joined by a shuffle."""
     items = targets.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(width)).alias("n")).distinct().collect()]
     if not lengths:
         return docs.select("doc_id").join(targets.select("item_id").limit(0))
     runs = lambda n: token_windows(F.col("words"), n)
     own = F.when(F.size("words") < width, F.array(F.array_join("words", " "))).otherwise(runs(width))
-    keys = items.select("item_id", F.explode(F.array_distinct(own)).alias("key"))
+    keys = stored(items.select("item_id", F.explode(F.array_distinct(own)).alias("key")), "keys")[0]
+    small = keys.count() <= BROADCAST_KEYS
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     held = words.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("key"))
-    found = held.join(keys, "key").select("doc_id", "item_id").distinct()
+    found = held.join(F.broadcast(keys) if small else keys, "key").select("doc_id", "item_id").distinct()
     if cap is None:
         return found
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))

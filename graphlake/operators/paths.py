@@ -174,16 +174,24 @@ def cheapest(graph: Graph, source: int, max_depth: int = 7, edge_cost: Column |
 
 
 def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None) -> DataFrame:
-    """Every loop-free path of at most ``max_depth`` hops. Partial paths that the
-    target cannot be reached from in the hops left are cut off at once."""
+    """Every loop-free path of at most ``max_depth`` hops. Partial paths are cut off
+    at once where the target is out of reach in the hops left, or where the least
+    weight from there to the target passes ``max_weight``."""
     spark = graph.vertices.sparkSession
     steps = _steps(graph, direction, edge_filter, vertex_filter, edge_cost, vertex_cost)
-    togo = materialised(reach(graph, target, max_depth - 1, BACK[direction], edge_filter, budget=budget)).select(F.col("id").alias("far"), F.col("depth").alias("togo"))
+    togo = reach(graph, target, max_depth - 1, BACK[direction], edge_filter, budget=budget).select(F.col("id").alias("far"), F.col("depth").alias("togo"))
+    slack = 1e-9 * (1 + abs(max_weight)) if max_weight < float("inf") else 0.0  # sums from the two ends round differently
+    if max_weight < float("inf") and vertex_cost is None:
+        least = cheapest(graph, target, max_depth - 1, edge_cost, None, max_weight + slack, BACK[direction], edge_filter, budget=budget)
+        togo = togo.join(least.select(F.col("id").alias("far"), F.col("weight").alias("least")), "far")
+    else:  # the cost of a vertex is that of arriving there, so it has no reverse
+        togo = togo.withColumn("least", F.lit(0.0))
+    togo = materialised(togo)
     paths = spark.createDataFrame([(source, [source], 0.0)], "at long, visited array<long>, so_far double").withColumn("steps", F.array().cast(f"array<{STEP}>"))
     done = None
     for depth in range(1, max_depth + 1):
         on = paths.join(steps, F.col("at") == F.col("near")).where(~F.array_contains("visited", F.col("far")))
-        on = on.join(togo, "far").where(F.col("togo") <= max_depth - depth).withColumn("total", F.col("so_far") + F.col("weight")).where(F.col("total") <= max_weight)
+        on = on.join(togo, "far").where(F.col("togo") <= max_depth - depth).withColumn("total", F.col("so_far") + F.col("weight")).where(F.col("total") <= max_weight).where(F.col("total") + F.col("least") <= max_weight + slack)
         on = materialised(on.select(F.col("far").alias("at"), F.concat("visited", F.array("far")).alias("visited"), F.col("total").alias("so_far"), F.concat("steps", F.array(_step())).alias("steps")))
         if budget:
             budget.spend(on)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from graphlake.sources.workspace import materialised
 
+BLOCK_VALUES = 4_000_000  # of query vectors broadcast at once, 32 MB
 METRICS = ("cosine", "dot", "l2")
 
 
@@ -74,9 +75,10 @@ def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "cosin
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 10_000) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of query vectors (query_id,
-    query). The query set is counted and broadcast in blocks of about ``block``;
-    each row meets all queries."""
-    blocks = -(-queries.count() // block)
+    query). The query set is counted and broadcast in blocks of about ``block``
+    queries and ``BLOCK_VALUES`` vector values; each row meets all queries."""
+    n, values = queries.agg(F.count("*"), F.sum(F.size("query"))).first()
+    blocks = max(-(-n // block), -(-(values or 0) // BLOCK_VALUES))
     if blocks > 1:
         dealt = materialised(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
         parts = [_nearest_block(vectors, dealt.where(F.col("__block") == b).drop("__block"), k, metric) for b in range(blocks)]

@@ -9,7 +9,7 @@ from graphlake.operators import paths, patterns
 from graphlake.operators.patterns import EdgeStep, VertexStep
 from graphlake.plans.registry import query
 from graphlake.plans.scan_queries import EDGES_SQL, ID
-from graphlake.sources.tables import commerce, heavy_supply, supplies
+from graphlake.sources.tables import commerce, supplies
 
 C7, C11 = ID["customer"] + 7, ID["customer"] + 11
 BOTH = f"e AS MATERIALIZED (SELECT id, src AS a, dst AS b, 'out' AS dir FROM {EDGES_SQL} WHERE edge_type IN ('placed', 'contains') UNION ALL SELECT id, dst, src, 'in' FROM {EDGES_SQL} WHERE edge_type IN ('placed', 'contains'))"
@@ -41,24 +41,20 @@ def bls_hops(spark, sf_dir):
 
 
 S3 = ID["supplier"] + 3
-HEAVY_E = f"SELECT l_extendedprice AS w, {ID['supplier']} + l_suppkey AS a, {ID['part']} + l_partkey AS b FROM lineitem WHERE l_quantity >= 45 AND l_discount >= 0.09"
 
 
-def _sparse(spark, sf_dir) -> Graph:
-    return commerce(spark, sf_dir).of_types("supplies").filter_edges(F.col("quantity") >= 45, F.col("discount") >= 0.09)
+def _least_cost_sql(rounds: int) -> str:
+    both = f"SELECT {ID['supplier']} + l_suppkey AS a, {ID['part']} + l_partkey AS b, l_extendedprice AS w FROM lineitem"
+    steps = [f"l AS ({both})", "e AS MATERIALIZED (SELECT a, b, CAST(round(min(w) * 100) AS DOUBLE) AS w FROM (SELECT a, b, w FROM l UNION ALL SELECT b, a, w FROM l) GROUP BY a, b)"]
+    steps.append(f"r0 AS (SELECT CAST({S3} AS BIGINT) AS id, CAST(0 AS DOUBLE) AS weight)")
+    for i in range(1, rounds + 1):
+        last = f"r{i - 1}"
+        steps.append(f"r{i} AS MATERIALIZED (SELECT id, min(weight) AS weight FROM (SELECT id, weight FROM {last} UNION ALL SELECT e.b, q.weight + e.w FROM {last} q JOIN e ON e.a = q.id) GROUP BY id)")
+    return "WITH " + ", ".join(steps) + f" SELECT id, weight FROM r{rounds}"
 
 
-@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b, CAST(round(min(w) * 100) AS DOUBLE) AS w FROM (SELECT a, b, w FROM ({HEAVY_E}) UNION ALL SELECT b, a, w FROM ({HEAVY_E})) GROUP BY a, b),
-  p AS (SELECT CAST({S3} AS BIGINT) AS id, 0 AS hops, CAST(0 AS DOUBLE) AS weight, [CAST({S3} AS BIGINT)] AS seen
-    UNION ALL SELECT e.b, p.hops + 1, p.weight + e.w, list_append(p.seen, e.b) FROM p JOIN e ON e.a = p.id WHERE p.hops < 4 AND NOT list_contains(p.seen, e.b))
-  SELECT id, min(weight) AS weight FROM p GROUP BY id""")
+@query(_least_cost_sql(4))
 def dijkstra_cost(spark, sf_dir):
-    found = paths.cheapest(_sparse(spark, sf_dir), S3, 4, edge_cost=F.round(F.col("extendedprice") * 100))
-    return found.select("id", "weight")
-
-
-@query()
-def dijkstra_cost_whole(spark, sf_dir):
     found = paths.cheapest(supplies(spark, sf_dir), S3, 4, edge_cost=F.round(F.col("extendedprice") * 100))
     return found.select("id", "weight")
 
@@ -117,17 +113,8 @@ def pattern_edge_start(spark, sf_dir):
     return _ids(patterns.bindings(commerce(spark, sf_dir), steps))
 
 
-@query(f"""SELECT count(DISTINCT a) + count(DISTINCT b) AS n_vertices, count(*) AS n_edges FROM (SELECT {ID['supplier']} + l_suppkey AS a, {ID['part']} + l_partkey AS b FROM lineitem
-  WHERE l_quantity >= 50 AND l_discount >= 0.1)""")
-def subgraph_renumbered(spark, sf_dir):
-    g = heavy_supply(spark, sf_dir).of_labels("supplier", "part")
-    out = patterns.subgraph(g, steps=[VertexStep(F.col("label") == "supplier"), EdgeStep("out"), VertexStep()], renumber=True)
-    v = out.vertices.agg((F.max("id") + 1).alias("n_vertices"))
-    return v.join(F.broadcast(out.edges.agg(F.count("*").alias("n_edges"))))
-
-
 @query(f"SELECT count(DISTINCT a) + count(DISTINCT b) AS n_vertices, count(*) AS n_edges FROM (SELECT {ID['supplier']} + l_suppkey AS a, {ID['part']} + l_partkey AS b FROM lineitem)")
-def subgraph_renumbered_whole(spark, sf_dir):
+def subgraph_renumbered(spark, sf_dir):
     out = patterns.subgraph(supplies(spark, sf_dir), steps=[VertexStep(F.col("label") == "supplier"), EdgeStep("out"), VertexStep()], renumber=True)
     v = out.vertices.agg((F.max("id") + 1).alias("n_vertices"))
     return v.join(F.broadcast(out.edges.agg(F.count("*").alias("n_edges"))))

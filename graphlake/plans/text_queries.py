@@ -64,30 +64,22 @@ def group_by_document(spark, sf_dir):
     return documents.group_by_document(t.select(F.col("conv_id").alias("doc_id"), F.length("text").cast("long").alias("score")))
 
 
-@query("""WITH h AS (SELECT conv_id, turn FROM conversations WHERE turn = 1 AND conv_id < 40)
-  SELECT c.conv_id AS doc_id, h.turn AS hit, c.turn AS chunk_no, c.text FROM conversations c JOIN h ON h.conv_id = c.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1""")
-def context_window(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), "text")
-    return documents.context(t, t.where("chunk_no = 1 and doc_id < 40"), 1)
-
-
 @query("""WITH h AS (SELECT conv_id, turn FROM conversations WHERE turn = 1)
   SELECT c.conv_id AS doc_id, h.turn AS hit, c.turn AS chunk_no, c.text FROM conversations c JOIN h ON h.conv_id = c.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1""")
-def context_window_whole(spark, sf_dir):
+def context_window(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), "text")
     return documents.context(t, t.where("chunk_no = 1"), 1)
 
 
-@query("""WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
-  k AS (SELECT item_id, array_to_string(list_slice(w, 1, 8), ' ') AS key FROM (SELECT item_id, string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE len(w) >= 8),
-  d AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8))
-  SELECT DISTINCT doc_id, item_id FROM d JOIN k USING (key)""")
-def mentions_links(spark, sf_dir):
-    return documents.mentions(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), cap=10_000)
+_WORDS = "[x FOR x IN string_split_regex(text, '\\s+') IF x <> '']"
 
 
-@query()
-def mentions_links_whole(spark, sf_dir):
+@query(f"""WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents), b AS MATERIALIZED (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  k AS (SELECT item_id, array_to_string(w[i : i + 7], ' ') AS key FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)),
+  d AS (SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+  s AS (SELECT doc_id, item_id FROM w JOIN b ON contains(' ' || array_to_string(w.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ') WHERE len(b.w) BETWEEN 1 AND 7)
+  SELECT DISTINCT doc_id, item_id FROM d JOIN k USING (key) UNION SELECT doc_id, item_id FROM s""")
+def mentions_links(spark, sf_dir):
     return documents.passages(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 

@@ -72,21 +72,14 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(v, _edges(pairs, 17, key, vertex_id("supplier", "l_suppkey"), vertex_id("part", "l_partkey"), "supplies", "weight"), "supply")
 
 
-def heavy_supply(spark: SparkSession, sf_dir: str) -> Graph:
-    """The sparse part of supplier-part edges: quantity 50 and a discount of 0.1."""
-    g = commerce(spark, sf_dir)
-    return g.of_types("supplies").filter_edges(F.col("quantity") >= 50, F.col("discount") >= 0.1)
-
-
 def supplies(spark: SparkSession, sf_dir: str) -> Graph:
     """All suppliers and parts and every supplier-part edge."""
     return commerce(spark, sf_dir).of_types("supplies").of_labels("supplier", "part")
 
 
-def copurchase(spark: SparkSession, sf_dir: str, below: int | None = 400) -> Graph:
-    """Parts bought in one order, keys under ``below`` if given, one edge per pair u < v."""
-    within = lambda key: F.lit(True) if below is None else F.col(key) < below
-    line = table(spark, sf_dir, "lineitem").where(within("l_partkey")).select("l_orderkey", "l_partkey").distinct()
+def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts bought in one order, one edge per pair u < v."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = (
         line.withColumnRenamed("l_partkey", "u")
         .join(line.withColumnRenamed("l_partkey", "v"), "l_orderkey")
@@ -94,7 +87,7 @@ def copurchase(spark: SparkSession, sf_dir: str, below: int | None = 400) -> Gra
         .select("u", "v")
         .distinct()
     )
-    parts = table(spark, sf_dir, "part").where(within("p_partkey"))
+    parts = table(spark, sf_dir, "part")
     return Graph(_vertices(parts, "part", "p_partkey"), _edges(pairs, 18, F.col("u") * 10**7 + F.col("v"), vertex_id("part", "u"), vertex_id("part", "v"), "bought_with"), "copurchase")
 
 

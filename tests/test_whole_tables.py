@@ -1,13 +1,17 @@
 """Queries over whole tables against brute force."""
 
+import random
 from collections import defaultdict
 from itertools import combinations
 
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from graphlake.operators import documents
+from graphlake.graph import Graph
+from graphlake.operators import documents, paths
 from graphlake.sources.tables import KINDS, VERTEX
 
 AT = "/root/testdata/sf0.001"
@@ -30,8 +34,8 @@ def test_triangles_of_all_parts(spark, tables):
             near[u].add(v)
             near[v].add(u)
     want = {PART + p: sum(len(near[p] & near[q]) for q in near[p]) // 2 for p in tables["part"]["p_partkey"]}
-    assert dict(run(spark, "triangles_whole")) == want
-    assert run(spark, "triangle_total_whole") == [(sum(want.values()) // 3,)]
+    assert dict(run(spark, "triangles")) == want
+    assert run(spark, "triangle_total") == [(sum(want.values()) // 3,)]
 
 
 def test_passages(spark):
@@ -53,9 +57,9 @@ def test_components_and_costs_of_all_supply_edges(spark, tables):
         before = dict(root)
         for a, b in arcs:
             root[b] = min(root[a], root[b])
-    assert dict(run(spark, "wcc_whole")) == root
+    assert dict(run(spark, "wcc")) == root
     sizes = pd.Series(root).value_counts()
-    assert sorted(run(spark, "partition_sizes_whole")) == sorted(sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[:10])
+    assert sorted(run(spark, "partition_sizes")) == sorted(sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[:10])
     best = {SUPPLIER + 3: 0.0}
     for _ in range(4):
         now = dict(best)
@@ -63,4 +67,29 @@ def test_components_and_costs_of_all_supply_edges(spark, tables):
             if a in best:
                 now[b] = min(now.get(b, float("inf")), best[a] + w)
         best = now
-    assert dict(run(spark, "dijkstra_cost_whole")) == best
+    assert dict(run(spark, "dijkstra_cost")) == best
+
+
+def test_k_cheapest_equals_all_simple_paths(spark):
+    rng = random.Random(7)
+    arcs = [(100 + i, *rng.sample(range(9), 2), rng.choice([0.1, 0.2, 0.3, 0.7])) for i in range(24)]
+    edges = spark.createDataFrame([(i, a, b, "to", None, w) for i, a, b, w in arcs], "id long, src long, dst long, edge_type string, label string, weight double")
+    g = Graph(spark.range(9).withColumn("label", F.lit("v")), edges)
+    found = []
+
+    def walk(at, seen, steps, weight):
+        if at == 8:
+            found.append((round(weight, 9), len(steps), ",".join(steps)))
+        elif len(steps) < 4:
+            for i, a, b, w in arcs:
+                for near, far, way in ((a, b, "out"), (b, a, "in")):
+                    if near == at and far not in seen:
+                        walk(far, [*seen, far], [*steps, f"{i}:{way}"], weight + w)
+
+    walk(0, [0], [], 0.0)
+    for k in (1, 4, 1000):
+        got = paths.k_cheapest(g, 0, 8, k, 4, edge_cost=F.col("weight")).select("weight", "hops", "signature").collect()
+        weights = [w for w, _, _ in sorted(found)[:k]]
+        assert [round(w, 9) for w, _, _ in got] == weights
+        assert {(round(w, 9), h, s) for w, h, s in got} <= set(found)
+        assert len({s for _, _, s in got}) == len(weights)
