@@ -173,20 +173,27 @@ def cheapest(graph: Graph, source: int, max_depth: int = 7, edge_cost: Column |
     return best
 
 
-def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None) -> DataFrame:
+def _togo(graph: Graph, target: int, max_depth: int, edge_cost: Column | None, vertex_cost: Column | None, direction: str, edge_filter: Column | None, budget: Budget | None) -> DataFrame:
+    """(far, togo, least): the fewest hops from a vertex to the target, and a weight
+    that no path from there goes below."""
+    hops = reach(graph, target, max_depth, BACK[direction], edge_filter, budget=budget).select(F.col("id").alias("far"), F.col("depth").alias("togo"))
+    if vertex_cost is not None:  # the cost of a vertex is that of arriving there, so it has no reverse
+        return materialised(hops.withColumn("least", F.lit(0.0)))
+    if edge_cost is None:  # a hop weighs 1
+        return materialised(hops.withColumn("least", F.col("togo").cast("double")))
+    least = cheapest(graph, target, max_depth, edge_cost, direction=BACK[direction], edge_filter=edge_filter, budget=budget)
+    return materialised(hops.join(least.select(F.col("id").alias("far"), F.col("weight").alias("least")), "far"))
+
+
+def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None, togo: DataFrame | None = None) -> DataFrame:
     """Every loop-free path of at most ``max_depth`` hops. Partial paths are cut off
     at once where the target is out of reach in the hops left, or where the least
-    weight from there to the target passes ``max_weight``."""
+    weight from there to the target passes ``max_weight``; ``togo`` may give these
+    distances, where they are known, as ``_togo`` finds them."""
     spark = graph.vertices.sparkSession
     steps = _steps(graph, direction, edge_filter, vertex_filter, edge_cost, vertex_cost)
-    togo = reach(graph, target, max_depth - 1, BACK[direction], edge_filter, budget=budget).select(F.col("id").alias("far"), F.col("depth").alias("togo"))
+    togo = _togo(graph, target, max_depth - 1, edge_cost, vertex_cost, direction, edge_filter, budget) if togo is None else togo
     slack = 1e-9 * (1 + abs(max_weight)) if max_weight < float("inf") else 0.0  # sums from the two ends round differently
-    if max_weight < float("inf") and vertex_cost is None:
-        least = cheapest(graph, target, max_depth - 1, edge_cost, None, max_weight + slack, BACK[direction], edge_filter, budget=budget)
-        togo = togo.join(least.select(F.col("id").alias("far"), F.col("weight").alias("least")), "far")
-    else:  # the cost of a vertex is that of arriving there, so it has no reverse
-        togo = togo.withColumn("least", F.lit(0.0))
-    togo = materialised(togo)
     paths = spark.createDataFrame([(source, [source], 0.0)], "at long, visited array<long>, so_far double").withColumn("steps", F.array().cast(f"array<{STEP}>"))
     done = None
     for depth in range(1, max_depth + 1):
@@ -216,10 +223,11 @@ def k_cheapest(graph: Graph, source: int, target: int, k: int = 1, max_depth: in
     if source == target or k < 1 or max_depth < 1 or ends < 2:
         return _empty(spark)
     bound = how.pop("max_weight", float("inf"))
+    togo = _togo(graph, target, max_depth - 1, how.get("edge_cost"), how.get("vertex_cost"), how.get("direction", "both"), how.get("edge_filter"), how.get("budget"))
     best = F.row_number().over(Window.orderBy("weight", "hops", "signature"))
     found = None
     for depth in range(1, max_depth + 1):
-        found = materialised(simple_paths(graph, source, target, depth, bound, **how).orderBy("weight", "hops", "signature").limit(k))
+        found = materialised(simple_paths(graph, source, target, depth, bound, togo=togo, **how).orderBy("weight", "hops", "signature").limit(k))
         weights = [r[0] for r in found.select("weight").orderBy("weight").collect()]
         if len(weights) == k:
             bound = min(bound, weights[-1])
