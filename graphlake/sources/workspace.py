@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers of a cluster this package, once a session, by way of the
+    shared folder; a worker started later, on any machine, gets it too. On one
+    machine, or without a shared folder, workers import what the session's Python
+    path holds."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.master.split("[")[0] == "local" or not spark.conf.get("spark.checkpoint.dir", None):
+        sc.environment.setdefault("PYTHONPATH", str(package.parent))
+        return
+    name = f"{package.name}-{sc.applicationId}.zip"
+    if name in sc._python_includes:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*")):
+            if f.is_file() and f.suffix != ".pyc":
+                z.write(f, f.relative_to(package.parent))
+    at, files = _filesystem(spark, f"{shared_dir(spark)}/{name}")
+    out = files.create(at, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(at.toString())
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -40,10 +72,9 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove tables that nothing will read again."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        at, files = _filesystem(spark, path)
+        files.delete(at, True)
 
 
 def materialised(df: DataFrame) -> DataFrame:
