@@ -1,7 +1,11 @@
 """Import, chunking, path, subgraph and search rules on small inputs."""
 
+import os
 import re
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -292,6 +296,35 @@ def test_a_cluster_needs_a_shared_folder():
         workspace.shared_dir(Elsewhere)
 
 
+ON_A_CLUSTER = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from graphlake.sources.workspace import ship_package
+
+config = {"spark.checkpoint.dir": sys.argv[2], "spark.ui.enabled": "false"}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=config).getOrCreate()
+for _ in range(2):
+    ship_package(spark)
+
+def where(frames):
+    import graphlake
+    for f in frames:
+        yield f.assign(at=graphlake.__file__)
+
+found = {r.at for r in spark.range(8, numPartitions=4).mapInPandas(where, "id long, at string").collect()}
+assert all(".zip" in at for at in found), found
+"""
+
+
+def test_a_cluster_gets_the_package_through_the_shared_folder(tmp_path):
+    root = str(Path(workspace.__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    run = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, root, str(tmp_path)], cwd=tmp_path, env=env | {"SPARK_SCALA_VERSION": "2.13"}, capture_output=True, text=True, timeout=180)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert len(list(tmp_path.glob("graphlake-*.zip"))) == 1
+
+
 def test_box_predicates(spark):
     boxes = spark.createDataFrame([(1, 0.0, 4.0, 0.0, 4.0), (2, 1.0, 2.0, 1.0, 2.0), (3, 4.0, 5.0, 0.0, 1.0)], "id int, lo1 double, hi1 double, lo2 double, hi2 double")
     ids = lambda test: [r.id for r in boxes.where(test).orderBy("id").collect()]
