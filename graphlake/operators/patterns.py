@@ -84,7 +84,7 @@ def subgraph(graph: Graph, vertex_filter: Column | None = None, edge_filter: Col
     pattern, the elements on some match. With ``renumber`` ids become dense and
     ``source_id`` tells the old ones. No match gives an empty graph."""
     kept = graph if vertex_filter is None else graph.with_vertices(graph.vertices.where(vertex_filter))
-    kept = kept.induced(kept.vertices)
+    kept = kept.without_loose_ends()
     kept = kept if edge_filter is None else kept.filter_edges(edge_filter)
     if steps:
         ids = materialised(bindings(kept, steps).select(F.explode("path").alias("__id")).distinct())

@@ -92,7 +92,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     key = ["part", "block", "dimension"]
     left = rows.withColumn("part", deal("id", parts)).withColumn("block", every(blocks))
     right = asked.withColumn("block", deal("query_id", blocks)).withColumn("part", every(parts))
-    left, right = (df.repartition(min(parts * blocks, 2_000), "part", "block").groupBy(*key) for df in (left, right))
+    left, right = (df.repartition(min(parts * blocks, 2_000), *key).groupBy(*key) for df in (left, right))
     kinds = [(f"{c} {df.schema[c].dataType.simpleString()}") for df, c in ((queries, "query_id"), (vectors, "id"))]
     scored = left.cogroup(right).applyInArrow(_group_best(k, metric), ", ".join([*kinds, "score double"]))
     best = F.col("score").asc() if metric == "l2" else F.col("score").desc()

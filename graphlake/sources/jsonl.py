@@ -61,7 +61,7 @@ def exported(graph: Graph, vertex_label: str | None = None, edge_label: str | No
     v = graph.vertices if vertex_label is None else graph.vertices.where(F.col("label") == vertex_label)
     e = graph.edges if edge_label is None else graph.edges.where(F.col("label") == edge_label)
     e = e if edge_type is None else e.where(F.col("edge_type") == edge_type)
-    return Graph(v, e, graph.name).induced(v)
+    return Graph(v, e, graph.name, closed=graph.closed and vertex_label is None).without_loose_ends()
 
 
 def export_lines(graph: Graph) -> DataFrame:
