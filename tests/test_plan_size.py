@@ -24,3 +24,28 @@ def test_edges_that_lack_an_end_are_left_out(spark):
     g = supply(spark, AT)
     g = g.with_vertices(g.vertices.where("label = 'part'"))
     assert not g.closed and g.without_loose_ends().edges.count() == 0
+
+
+def test_rounds_have_tasks_for_their_rows(spark, monkeypatch):
+    from graphlake.sources import workspace
+
+    monkeypatch.setattr(workspace, "TASK_ROWS", 1_000)
+    seen, stored = [], analytics.stored
+
+    def watched(df, what, *rest):
+        seen.append((what, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        return stored(df, what, *rest)
+
+    monkeypatch.setattr(analytics, "stored", watched)
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    arcs = 2 * supply(spark, AT).edges.count()
+    for run in (analytics.pagerank, analytics.label_propagation):
+        seen.clear()
+        run(supply(spark, AT), rounds=2, direction="both")
+        assert {n for _, n in seen} == {-(-arcs // 1_000)} and spark.conf.get("spark.sql.shuffle.partitions") == had
+
+
+def test_triangles_carry_numbers_of_the_later_neighbours_only(spark):
+    g = entry.queries()["triangle_total"](spark, AT)
+    told = plan(g)
+    assert "slice(near" in told and dict(analytics._triangles(supply(spark, AT), True)[0].dtypes) == dict.fromkeys(("low", "high", "other"), "int")
