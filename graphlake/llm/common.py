@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.sources.workspace import discard, shared_path, stored, written
+from graphlake.sources.workspace import discard, shared_path, stored, tidied, written
 
 __all__ = ["discard", "keyed_texts", "partitions", "shared_path", "stored", "tidied", "written"]
 
@@ -24,19 +20,3 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-
-
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` over a task's batches, after which the worker, which lives on, gives
-    the memory it no longer uses back to the system."""
-
-    def wrapped(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
-
-    return wrapped

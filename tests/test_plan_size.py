@@ -49,3 +49,12 @@ def test_triangles_carry_numbers_of_the_later_neighbours_only(spark):
     g = entry.queries()["triangle_total"](spark, AT)
     told = plan(g)
     assert "slice(near" in told and dict(analytics._triangles(supply(spark, AT), True)[0].dtypes) == dict.fromkeys(("low", "high", "other"), "int")
+
+
+def test_chunks_are_made_from_arrow_batches(spark):
+    from graphlake.functions import chunks
+
+    docs = spark.createDataFrame([(i, "word " * 100_000) for i in range(9)] + [(50, None), (51, " ")], "doc_id long, text string").coalesce(1)
+    found = chunks.chunk(docs)
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "MapInPandas" not in found._jdf.queryExecution().toString()
+    assert found.groupBy("doc_id").agg({"chunk_no": "max", "*": "count"}).where("`max(chunk_no)` + 1 = `count(1)`").count() == 9
