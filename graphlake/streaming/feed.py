@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,24 +57,12 @@ def last_values(events: DataFrame) -> DataFrame:
 
 def materialise(stream: DataFrame) -> DataFrame:
     """Stream: the last value per (id, key) as an update stream (id, key, value,
-    seq, removed). State is one row per key; late and repeated events change nothing."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seq, value, removed = state.get if state.exists else (0, None, True)
-        was = seq
-        for f in frames:
-            top = f.loc[f["seq"].idxmax()]
-            if top["seq"] > seq:
-                seq, removed = int(top["seq"]), bool(top["kind"] == "PropertyRemoved")
-                value = None if removed else top["value"]
-        state.update((seq, value, removed))
-        if seq > was:
-            yield pd.DataFrame({"id": [key[0]], "key": [key[1]], "value": [value], "seq": [seq], "removed": [removed]})
-
+    seq, removed). State is one row per key, kept by Spark's own aggregation; late
+    and repeated events change nothing, a key they name may be told once more."""
     changes = stream.where("kind in ('PropertySet', 'PropertyRemoved')")
-    return changes.groupBy("id", "key").applyInPandasWithState(
-        fold, "id long, key string, value string, seq long, removed boolean", "seq long, value string, removed boolean", "update", "NoTimeout"
-    )
+    removed = F.col("kind") == "PropertyRemoved"
+    last = F.max(F.struct("seq", removed.alias("removed"), F.when(~removed, F.col("value")).alias("value"))).alias("m")
+    return changes.groupBy("id", "key").agg(last).select("id", "key", "m.value", "m.seq", "m.removed")
 
 
 def run_now(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -58,3 +58,22 @@ def test_chunks_are_made_from_arrow_batches(spark):
     found = chunks.chunk(docs)
     assert "MapInArrow" in found._jdf.queryExecution().toString() and "MapInPandas" not in found._jdf.queryExecution().toString()
     assert found.groupBy("doc_id").agg({"chunk_no": "max", "*": "count"}).where("`max(chunk_no)` + 1 = `count(1)`").count() == 9
+
+
+def test_feed_state_without_python_and_late_events(spark, tmp_path):
+    from graphlake.streaming import feed
+
+    def add(*rows):
+        events = [("e0", seq, None, kind, "vertex", 1, "user", None, key, value) for seq, kind, key, value in rows]
+        spark.createDataFrame(events, feed.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def told(n):
+        stream = feed.materialise(feed.read_stream(spark, str(tmp_path / "in")))
+        assert "Python" not in stream._jdf.queryExecution().analyzed().toString() and "InPandas" not in stream._jdf.queryExecution().analyzed().toString()
+        feed.run_now(stream, str(tmp_path / "out"), str(tmp_path / "check"), mode="update")
+        return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/batch={n}").select("key", "value", "seq", "removed").collect())
+
+    add((5, "PropertySet", "a", "x"), (6, "PropertyRemoved", "b", "y"), (7, "VertexCreated", "c", "z"))
+    assert told(0) == [("a", "x", 5, False), ("b", None, 6, True)]
+    add((4, "PropertySet", "a", "late"), (8, "PropertySet", "b", "w"))
+    assert told(1) == [("a", "x", 5, False), ("b", "w", 8, False)]
