@@ -72,7 +72,7 @@ def mutate_embeddings(spark, sf_dir):
 
 @query("SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS n_vertices, count(*) AS n_edges, round(sum(l_quantity), 2) AS quantity FROM lineitem")
 def jsonl_roundtrip(spark, sf_dir):
-    jsonl.write(supplies(spark, sf_dir), path := _path(spark, "graph"))
+    jsonl.write(supplies(spark, sf_dir), path := _path(spark, "graph"), compression="gzip")
     back = jsonl.read(spark, path)
     e = back.edges.agg(F.count("*").alias("n_edges"), F.round(F.sum(jsonl.typed("props", "quantity", "double")), 2).alias("quantity"))
     return back.vertices.agg(F.count("*").alias("n_vertices")).join(F.broadcast(e))

@@ -67,16 +67,17 @@ def exported(graph: Graph, vertex_label: str | None = None, edge_label: str | No
 def export_lines(graph: Graph) -> DataFrame:
     """(value): the meta line, then vertices, then edges, by id."""
     spark = graph.vertices.sparkSession
-    v = graph.vertices.select(F.lit(1).alias("o"), "id", F.to_json(F.struct(F.lit("vertex").alias("type"), "id", "label", _properties(graph.vertices, VERTEX_COLUMNS).alias("properties"))).alias("value"))
+    # Sorted before they become text, which is several times as wide.
+    v = graph.vertices.orderBy("id").select(F.to_json(F.struct(F.lit("vertex").alias("type"), "id", "label", _properties(graph.vertices, VERTEX_COLUMNS).alias("properties"))).alias("value"))
     line = F.struct(F.lit("edge").alias("type"), "id", F.col("edge_type").alias("edgePropertyId"), "label", F.col("src").alias("source"), F.col("dst").alias("target"), _properties(graph.edges, EDGE_COLUMNS).alias("properties"))
-    e = graph.edges.select(F.lit(2).alias("o"), "id", F.to_json(line).alias("value"))
+    e = graph.edges.orderBy("id").select(F.to_json(line).alias("value"))
     counts = (graph.vertices.count(), graph.edges.count())
-    meta = spark.createDataFrame([(0, 0, f'{{"type":"meta","format":"{FORMAT}","version":{VERSION},"vertexCount":{counts[0]},"edgeCount":{counts[1]}}}')], "o int, id long, value string")
-    return meta.unionAll(v).unionAll(e).orderBy("o", "id").select("value")
+    meta = f'{{"type":"meta","format":"{FORMAT}","version":{VERSION},"vertexCount":{counts[0]},"edgeCount":{counts[1]}}}'
+    return spark.range(0, 1, 1, 1).select(F.lit(meta).alias("value")).unionAll(v).unionAll(e)
 
 
-def write(graph: Graph, path: str, **filters) -> None:
-    export_lines(exported(graph, **filters)).write.text(path)
+def write(graph: Graph, path: str, compression: str = "none", **filters) -> None:
+    export_lines(exported(graph, **filters)).write.text(path, compression=compression)
 
 
 class NotAGraph(ValueError):
@@ -87,17 +88,22 @@ class NotAGraph(ValueError):
         self.line = line
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of a file, or of a folder's files one after another,
-    by their number from 1. One number per block of a file reaches the driver."""
+def numbered_lines(spark: SparkSession, path: str, *columns: Column) -> DataFrame:
+    """(line, value), or with ``columns`` these instead of the value: the lines of a
+    file, or of a folder's files one after another, by their number from 1. One
+    number per block of a file reaches the driver."""
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = written(spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("i")), "lines")
+    said = F.trim("value") != ""
+    # A blank line counts but says nothing, so only its place is kept.
+    read = spark.read.text(path).select("value", *at, F.monotonically_increasing_id().alias("i"), said.alias("said"))
+    lines = written(read.select("file", "block", "i", "said", *(columns or ["value"])), "lines")
     base, before = [], 0
     for r in lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("low")).orderBy("file", "block").collect():
         base.append((r["file"], r["block"], before + 1 - r["low"]))
         before += r["n"]
     shift = F.broadcast(spark.createDataFrame(base, "file string, block long, shift long"))
-    return lines.join(shift, ["file", "block"]).select((F.col("i") + F.col("shift")).alias("line"), "value").where("trim(value) <> ''")
+    kept = [c for c in lines.columns if c not in ("file", "block", "i", "said")]
+    return lines.join(shift, ["file", "block"]).where("said").select((F.col("i") + F.col("shift")).alias("line"), *kept)
 
 
 def _fits(entry: Column) -> Column:
@@ -138,8 +144,8 @@ def read(spark: SparkSession, path: str) -> Graph:
     used twice (vertices and edges share one space), edges without a type, and edges
     whose ends do not stand earlier in the file.
     """
-    parsed = numbered_lines(spark, path).select("line", F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_bad"}).alias("x"), F.expr("json_object_keys(value)").alias("keys"))
-    lines = written(parsed.select("line", "keys", "x.*"), "parsed")
+    parsed = F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_bad"}).alias("x")
+    lines = numbered_lines(spark, path, parsed, F.expr("json_object_keys(value)").alias("keys")).select("line", "keys", "x.*")
 
     def refuse(wrong: DataFrame) -> None:
         if first := wrong.orderBy("line").limit(1).collect():

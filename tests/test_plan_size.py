@@ -77,3 +77,14 @@ def test_feed_state_without_python_and_late_events(spark, tmp_path):
     assert told(0) == [("a", "x", 5, False), ("b", None, 6, True)]
     add((4, "PropertySet", "a", "late"), (8, "PropertySet", "b", "w"))
     assert told(1) == [("a", "x", 5, False), ("b", "w", 8, False)]
+
+
+def test_export_sorts_rows_and_not_their_text(spark, tmp_path):
+    from graphlake.sources import jsonl
+
+    lines = jsonl.export_lines(supply(spark, AT))
+    assert all("to_json" not in x for x in plan(lines).splitlines() if "Sort [" in x) and plan(lines).count("Sort [") == 2
+    jsonl.write(supply(spark, AT), str(tmp_path / "g"), compression="gzip")
+    numbers = [r["line"] for r in jsonl.numbered_lines(spark, str(tmp_path / "g")).orderBy("line").collect()]
+    assert numbers == list(range(1, len(numbers) + 1))
+    assert jsonl.read(spark, str(tmp_path / "g")).edges.count() == supply(spark, AT).edges.count()
