@@ -89,7 +89,7 @@ def subgraph(graph: Graph, vertex_filter: Column | None = None, edge_filter: Col
     if steps:
         ids = materialised(bindings(kept, steps).select(F.explode("path").alias("__id")).distinct())
         kept = Graph(
-            kept.vertices.join(ids, F.col("id") == F.col("__id"), "left_semi"), kept.edges.join(ids, F.col("id") == F.col("__id"), "left_semi"), f"{graph.name}-match"
+            kept.vertices.join(ids, F.col("id") == F.col("__id"), "left_semi"), kept.edges.join(ids, F.col("id") == F.col("__id"), "left_semi"), f"{graph.name}-match", closed=True
         )
     if renumber:
         from graphlake.operators.mutate import trim

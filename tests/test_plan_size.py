@@ -88,3 +88,11 @@ def test_export_sorts_rows_and_not_their_text(spark, tmp_path):
     numbers = [r["line"] for r in jsonl.numbered_lines(spark, str(tmp_path / "g")).orderBy("line").collect()]
     assert numbers == list(range(1, len(numbers) + 1))
     assert jsonl.read(spark, str(tmp_path / "g")).edges.count() == supply(spark, AT).edges.count()
+
+
+def test_subgraph_of_a_closed_graph_joins_nothing(spark):
+    from graphlake.operators import patterns
+    from graphlake.sources.tables import supplies
+
+    g = supplies(spark, AT)
+    assert plan(patterns.subgraph(g).edges) == plan(g.edges)
