@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,23 @@ class Budget:
 STEP = "struct<edge_id:bigint,edge_type:string,direction:string,src:bigint,dst:bigint,weight:double>"
 
 
-def _steps(graph: Graph, direction: str, edge_filter: Column | None, vertex_filter: Column | None, edge_cost: Column | None = None, vertex_cost: Column | None = None) -> DataFrame:
+def _alone(spark: SparkSession, id: int) -> DataFrame:
+    """(id) of one row. Spark knows how small it is, as it does not of rows that come
+    from Python, and broadcasts it; else a first level would shuffle all edges."""
+    return spark.range(1).select((F.col("id") + F.lit(id)).alias("id"))
+
+
+def _steps(graph: Graph, direction: str, edge_filter: Column | None, vertex_filter: Column | None, edge_cost: Column | None = None, vertex_cost: Column | None = None, within: DataFrame | None = None) -> DataFrame:
     """(near, far, edge_id, edge_type, direction, weight) of the walkable steps;
-    the vertex filter and cost are those of the vertex a step arrives at."""
+    the vertex filter and cost are those of the vertex a step arrives at.
+
+    With ``within`` (id) they are those between these vertices, found once and
+    stored. It is a condition and not a join, which Spark would not take below the
+    window that numbers the edges of a table: only what is kept is shuffled for it."""
     e = graph.edges if edge_filter is None else graph.edges.where(edge_filter)
     e = e.withColumn("__w", F.lit(1.0) if edge_cost is None else F.coalesce(edge_cost.cast("double"), F.lit(1.0)))
+    if within is not None:
+        e = materialised(e.where(F.col("src").isin(within) & F.col("dst").isin(within)).select("id", "src", "dst", "edge_type", "__w"))
     steps = walkable(e, direction, "__w").withColumnRenamed("id", "edge_id")
     if vertex_filter is not None or vertex_cost is not None:
         v = graph.vertices if vertex_filter is None else graph.vertices.where(vertex_filter)
@@ -59,7 +72,7 @@ def reach(graph: Graph, source: int, max_depth: int, direction: str = "both", ed
     ``until`` the search ends at the level that holds it."""
     spark = graph.vertices.sparkSession
     steps = _steps(graph, direction, edge_filter, vertex_filter).select("near", "far")
-    seen = spark.createDataFrame([(source, 0)], "id long, depth int")
+    seen = _alone(spark, source).withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, max_depth + 1):
         found = steps.join(frontier.select(F.col("id").alias("near")), "near").select(F.col("far").alias("id")).distinct()
@@ -95,9 +108,8 @@ def meeting(graph: Graph, source: int, target: int, max_depth: int = 7, directio
     smaller, until a vertex is on both: the levels (id) from the source and those
     from the target, whose last ones meet; None if they do not within the depth."""
     spark = graph.vertices.sparkSession
-    one = lambda x: spark.createDataFrame([(x,)], "id long")
-    levels, sizes = ([one(source)], [one(target)]), [1, 1]
-    seen = [one(source), one(target)]
+    levels, sizes = ([_alone(spark, source)], [_alone(spark, target)]), [1, 1]
+    seen = [_alone(spark, source), _alone(spark, target)]
     # The ends are exempt from the filter; it is that of the vertex a step arrives at.
     passing = None if vertex_filter is None else (vertex_filter | F.col("id").isin(source, target))
     steps = [_steps(graph, d, edge_filter, passing).select("near", "far") for d in (direction, BACK[direction])]
@@ -135,8 +147,8 @@ def fewest_hops(graph: Graph, source: int, target: int, max_depth: int = 7, max_
     ahead, behind = met
     levels = ahead[:-1] + [ahead[-1].join(behind[-1], "id", "left_semi")] + behind[-2::-1]
     passing = None if vertex_filter is None else (vertex_filter | F.col("id").isin(source, target))
-    steps = _steps(graph, direction, edge_filter, passing)
-    paths = spark.createDataFrame([(target,)], "at long").withColumn("steps", F.array().cast(f"array<{STEP}>"))
+    steps = _steps(graph, direction, edge_filter, passing, within=reduce(DataFrame.unionAll, levels).distinct())
+    paths = _alone(spark, target).select(F.col("id").alias("at"), F.array().cast(f"array<{STEP}>").alias("steps"))
     for before in levels[-2::-1]:
         last = steps.join(before.select(F.col("id").alias("near")), "near", "left_semi").withColumn("weight", F.lit(0.0))
         paths = paths.join(last, F.col("at") == F.col("far")).select(F.col("near").alias("at"), F.concat(F.array(_step()), "steps").alias("steps"))
@@ -155,8 +167,7 @@ def cheapest(graph: Graph, source: int, max_depth: int = 7, edge_cost: Column |
     more hops that is no cheaper is dropped."""
     spark = graph.vertices.sparkSession
     steps = _steps(graph, direction, edge_filter, vertex_filter, edge_cost, vertex_cost)
-    steps = steps.groupBy("near", "far").agg(F.min("weight").alias("weight"))
-    best = spark.createDataFrame([(source, 0, 0.0)], "id long, hops int, weight double")
+    best = _alone(spark, source).select("id", F.lit(0).alias("hops"), F.lit(0.0).alias("weight"))
     frontier = best
     for depth in range(1, max_depth + 1):
         found = steps.join(frontier.select(F.col("id").alias("near"), F.col("weight").alias("so_far")), "near")
@@ -185,16 +196,23 @@ def _togo(graph: Graph, target: int, max_depth: int, edge_cost: Column | None, v
     return materialised(hops.join(least.select(F.col("id").alias("far"), F.col("weight").alias("least")), "far"))
 
 
-def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None, togo: DataFrame | None = None) -> DataFrame:
+def _on_the_way(graph: Graph, source: int, togo: DataFrame, edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None) -> DataFrame:
+    """The steps between vertices that the target can be reached from."""
+    within = togo.select(F.col("far").alias("id")).unionAll(_alone(graph.vertices.sparkSession, source))
+    return _steps(graph, direction, edge_filter, vertex_filter, edge_cost, vertex_cost, within)
+
+
+def simple_paths(graph: Graph, source: int, target: int, max_depth: int, max_weight: float = float("inf"), edge_cost: Column | None = None, vertex_cost: Column | None = None, direction: str = "both", edge_filter: Column | None = None, vertex_filter: Column | None = None, budget: Budget | None = None, togo: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
     """Every loop-free path of at most ``max_depth`` hops. Partial paths are cut off
     at once where the target is out of reach in the hops left, or where the least
-    weight from there to the target passes ``max_weight``; ``togo`` may give these
-    distances, where they are known, as ``_togo`` finds them."""
+    weight from there to the target passes ``max_weight``; ``togo`` and ``steps`` may
+    give these distances and the steps to take, where they are known, as ``_togo``
+    and ``_on_the_way`` find them."""
     spark = graph.vertices.sparkSession
-    steps = _steps(graph, direction, edge_filter, vertex_filter, edge_cost, vertex_cost)
     togo = _togo(graph, target, max_depth - 1, edge_cost, vertex_cost, direction, edge_filter, budget) if togo is None else togo
+    steps = _on_the_way(graph, source, togo, edge_cost, vertex_cost, direction, edge_filter, vertex_filter) if steps is None else steps
     slack = 1e-9 * (1 + abs(max_weight)) if max_weight < float("inf") else 0.0  # sums from the two ends round differently
-    paths = spark.createDataFrame([(source, [source], 0.0)], "at long, visited array<long>, so_far double").withColumn("steps", F.array().cast(f"array<{STEP}>"))
+    paths = _alone(spark, source).select(F.col("id").alias("at"), F.array("id").alias("visited"), F.lit(0.0).alias("so_far"), F.array().cast(f"array<{STEP}>").alias("steps"))
     done = None
     for depth in range(1, max_depth + 1):
         on = paths.join(steps, F.col("at") == F.col("near")).where(~F.array_contains("visited", F.col("far")))
@@ -217,17 +235,20 @@ def k_cheapest(graph: Graph, source: int, target: int, k: int = 1, max_depth: in
 
     The search is bounded: the k-th least weight of the paths found within few hops
     bounds the weight of all deeper ones, so each deeper pass only keeps partial
-    paths that can still be among the k."""
+    paths that can still be among the k. All passes walk the same stored steps, and
+    the first one is that of the fewest hops."""
     spark = graph.vertices.sparkSession
     ends = graph.vertices.where(F.col("id").isin(source, target)).select("id").distinct().count()
     if source == target or k < 1 or max_depth < 1 or ends < 2:
         return _empty(spark)
     bound = how.pop("max_weight", float("inf"))
     togo = _togo(graph, target, max_depth - 1, how.get("edge_cost"), how.get("vertex_cost"), how.get("direction", "both"), how.get("edge_filter"), how.get("budget"))
+    steps = _on_the_way(graph, source, togo, **{key: value for key, value in how.items() if key != "budget"})
+    nearest = togo.where(F.col("far") == source).select("togo").first()
     best = F.row_number().over(Window.orderBy("weight", "hops", "signature"))
     found = None
-    for depth in range(1, max_depth + 1):
-        found = materialised(simple_paths(graph, source, target, depth, bound, togo=togo, **how).orderBy("weight", "hops", "signature").limit(k))
+    for depth in range(nearest[0] if nearest else max_depth, max_depth + 1):
+        found = materialised(simple_paths(graph, source, target, depth, bound, togo=togo, steps=steps, **how).orderBy("weight", "hops", "signature").limit(k))
         weights = [r[0] for r in found.select("weight").orderBy("weight").collect()]
         if len(weights) == k:
             bound = min(bound, weights[-1])

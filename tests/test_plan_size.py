@@ -96,3 +96,22 @@ def test_subgraph_of_a_closed_graph_joins_nothing(spark):
 
     g = supplies(spark, AT)
     assert plan(patterns.subgraph(g).edges) == plan(g.edges)
+
+
+def test_path_searches_number_the_lines_on_the_way_only_and_once(spark, monkeypatch):
+    from graphlake.operators import paths
+
+    seen, materialised = [], paths.materialised
+
+    def watched(df):
+        seen.append(plan(df))
+        return materialised(df)
+
+    monkeypatch.setattr(paths, "materialised", watched)
+    for name in ("k_shortest", "bls_paths", "khop_reach", "dijkstra_cost"):
+        seen.clear()
+        entry.queries()[name](spark, AT).collect()
+        numbered = [p for p in seen if "Window [" in p]
+        assert len(numbered) == (name in ("k_shortest", "bls_paths")), name
+        assert all("LeftSemi" in p[p.index("Window [") :] for p in numbered), name
+        assert not any("LogicalRDD" in p or "Aggregate [near" in p for p in seen), name

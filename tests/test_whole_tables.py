@@ -93,3 +93,26 @@ def test_k_cheapest_equals_all_simple_paths(spark):
         assert [round(w, 9) for w, _, _ in got] == weights
         assert {(round(w, 9), h, s) for w, h, s in got} <= set(found)
         assert len({s for _, _, s in got}) == len(weights)
+
+
+@pytest.mark.parametrize("direction", ["both", "out", "in"])
+def test_k_cheapest_with_filters_and_costs_equals_all_simple_paths(spark, direction):
+    rng = random.Random(8)
+    arcs = [(100 + i, *rng.sample(range(10), 2), rng.choice([0.25, 0.5, 1.0])) for i in range(60)]
+    edges = spark.createDataFrame([(i, a, b, "to", None, w) for i, a, b, w in arcs], "id long, src long, dst long, edge_type string, label string, weight double")
+    g = Graph(spark.range(10).withColumn("label", F.lit("v")), edges)
+    found = []
+
+    def walk(at, seen, steps, weight):
+        if at == 8:
+            found.append((weight, len(steps), ",".join(steps)))
+        elif len(steps) < 3:
+            for i, a, b, w in arcs:
+                for near, far, way in ((a, b, "out"), (b, a, "in")):
+                    if near == at and far not in (*seen, 5) and direction in ("both", way) and i % 7:
+                        walk(far, [*seen, far], [*steps, f"{i}:{way}"], weight + w + far / 8)
+
+    walk(0, [0], [], 0.0)
+    how = {"direction": direction, "edge_cost": F.col("weight"), "vertex_cost": F.col("id") / 8, "edge_filter": F.col("id") % 7 != 0, "vertex_filter": F.col("id") != 5}
+    got = paths.k_cheapest(g, 0, 8, 1000, 3, **how).orderBy("rank").select("weight", "hops", "signature").collect()
+    assert [tuple(r) for r in got] == sorted(found) and len({h for _, h, _ in found}) > 1
